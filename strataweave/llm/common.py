@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,53 +74,52 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = STEP_
             start = end
 
 
-_NOT_WORD = re.compile(r"[\W_]+")
-_MEMO: dict[str, int] = {}
-_MEMO_MOST = 400_000
+#: What a word loses: all but letters, digits and white space (RE2).
+NOT_WORD = r"[^\p{L}\p{N}\p{Z}\s\x{85}\x{1c}-\x{1f}]+"
 
 
-def normal_word(token: str) -> str:
-    """A token without anything that isn't a letter or digit (the token is lower-cased before)."""
-    return _NOT_WORD.sub("", token)
+def _tokens(texts: pa.Array) -> pa.Array:
+    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), NOT_WORD, "")
+    return pc.list_parent_indices(lists := pc.utf8_split_whitespace(plain)), lists.flatten(), len(lists)
 
 
 def normal_words(text: str | None) -> list[str]:
-    """Reference form of words(): lower-cased, cut at white space, other signs removed, empty tokens dropped."""
-    if not text:
-        return []
-    column = pc.utf8_lower(pa.array([text], pa.large_string()))
-    return [w for w in (normal_word(t) for t in pc.utf8_split_whitespace(column)[0].as_py()) if w]
-
-
-def _hash_word(token: str) -> int:
-    h = _MEMO.get(token)
-    if h is None:
-        w = normal_word(token)
-        h = (xxhash.xxh64_intdigest(w.encode("utf-8"), 7) | 1) if w else 0
-        if len(_MEMO) >= _MEMO_MOST:
-            _MEMO.clear()
-        _MEMO[token] = h
-    return h
+    """The words of a text: lower-cased, all but letters, digits and white space removed, cut at white space."""
+    return [w for w in _tokens(pa.array([text], pa.large_string()))[1].to_pylist() if w]
+
+
+_BYTES = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
+_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for k, r in enumerate((0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 2**64))):
+            p = np.full(n, np.uint64(r), np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.cumprod(p)
+    return _POWERS
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the normal words of each text, one after the other, and where each text's words begin (n + 1 offsets).
-    Only distinct tokens are hashed in Python; all else is Arrow and numpy."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    coded = pc.dictionary_encode(lists.flatten())
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    known = np.fromiter((_hash_word(t) for t in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    if not len(known):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    words = known[coded.indices.to_numpy(zero_copy_only=False)]
-    there = words != 0
-    if not there.all():
-        before = np.concatenate([[0], np.cumsum(there)])
-        words, offsets = words[there], before[offsets]
-    return words, offsets
+    """64-bit hashes of the words of each text, one after the other, and where each text's words begin (n + 1 offsets).
+
+    A word's hash is a polynomial over its UTF-8 bytes, taken for all words at once from prefix sums; no word is a Python object."""
+    parents, tokens, n = _tokens(texts)
+    parents = parents.to_numpy(zero_copy_only=False)
+    bounds = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1, tokens.offset * 8) if len(tokens) else np.zeros(1, np.int64)
+    start, end = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+    if (there := end > start).sum() < len(start):
+        start, end, parents = start[there], end[there], parents[there]
+    offsets = np.searchsorted(parents, np.arange(n + 1))
+    if not len(start):
+        return np.zeros(0, np.uint64), offsets
+    data = np.frombuffer(tokens.buffers()[2], np.uint8, bounds[-1] - bounds[0], bounds[0])
+    power, inverse = _powers(max(len(data) + 1, 1 << 16))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), offsets
 
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
