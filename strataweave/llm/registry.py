@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataweave.llm import simhash
+from strataweave.llm import decontaminate, simhash
 
-QUERIES = {"op4_simhash_near_dedup": simhash.query}
-ORACLE = {}
+QUERIES = {"op1_decontamination": decontaminate.query, "op4_simhash_near_dedup": simhash.query}
+ORACLE = {"op1_decontamination": decontaminate.ORACLE}
