@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from strataweave.llm import decontaminate, simhash
+from strataweave.llm import decontaminate, packing, simhash
 
-QUERIES = {"op1_decontamination": decontaminate.query, "op4_simhash_near_dedup": simhash.query}
+QUERIES = {
+    "op1_decontamination": decontaminate.query,
+    "op2_best_fit_packing": packing.query,
+    "op4_simhash_near_dedup": simhash.query,
+}
 ORACLE = {"op1_decontamination": decontaminate.ORACLE}
