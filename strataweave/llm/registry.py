@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strataweave.llm import decontaminate, packing, simhash
+from strataweave.llm import decontaminate, fingerprint, packing, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_best_fit_packing": packing.query,
     "op4_simhash_near_dedup": simhash.query,
+    "op7_document_fingerprints": fingerprint.query,
 }
 ORACLE = {"op1_decontamination": decontaminate.ORACLE}
