@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strataweave.llm import decontaminate, fingerprint, packing, simhash
+from strataweave.llm import decontaminate, fingerprint, packing, secrets, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_best_fit_packing": packing.query,
     "op4_simhash_near_dedup": simhash.query,
+    "op6_secret_scans": secrets.query,
     "op7_document_fingerprints": fingerprint.query,
 }
 ORACLE = {"op1_decontamination": decontaminate.ORACLE}
