@@ -103,9 +103,15 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each text, one after the other, and where each text's words begin (n + 1 offsets).
+    """64-bit hashes of the words of each text, one after the other, and where each text's words begin (n + 1 offsets)."""
+    words, _, offsets = word_and_prefix_hashes(texts, ())
+    return words, offsets
 
-    A word's hash is a polynomial over its UTF-8 bytes, taken for all words at once from prefix sums; no word is a Python object."""
+
+def word_and_prefix_hashes(texts: pa.Array, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Hashes of all words, for each length those of the words' first so many bytes (0 where a word isn't longer), and the texts' offsets.
+
+    A hash is a polynomial over UTF-8 bytes, taken for all words at once from prefix sums; no word is a Python object."""
     parents, tokens, n = _tokens(texts)
     parents = parents.to_numpy(zero_copy_only=False)
     bounds = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1, tokens.offset * 8) if len(tokens) else np.zeros(1, np.int64)
@@ -114,12 +120,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         start, end, parents = start[there], end[there], parents[there]
     offsets = np.searchsorted(parents, np.arange(n + 1))
     if not len(start):
-        return np.zeros(0, np.uint64), offsets
+        return np.zeros(0, np.uint64), [np.zeros(0, np.uint64) for _ in prefixes], offsets
     data = np.frombuffer(tokens.buffers()[2], np.uint8, bounds[-1] - bounds[0], bounds[0])
     power, inverse = _powers(max(len(data) + 1, 1 << 16))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), offsets
+    short = [np.where(end - start > k, mix((sums[np.minimum(start + k, end)] - sums[start]) * inverse[start] + np.uint64(k << 32)), np.uint64(0)) for k in prefixes]
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), short, offsets
 
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataweave.llm import decontaminate, fingerprint, packing, secrets, simhash
+from strataweave.llm import decontaminate, fingerprint, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash.query,
     "op6_secret_scans": secrets.query,
     "op7_document_fingerprints": fingerprint.query,
+    "op9_toxicity": toxicity.query,
 }
 ORACLE = {"op1_decontamination": decontaminate.ORACLE}
