@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataweave.llm import decontaminate, fingerprint, packing, secrets, simhash, toxicity
+from strataweave.llm import decontaminate, fingerprint, packing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_secret_scans": secrets.query,
     "op7_document_fingerprints": fingerprint.query,
     "op9_toxicity": toxicity.query,
+    "op10_quality_classifier": quality.query,
 }
 ORACLE = {"op1_decontamination": decontaminate.ORACLE}
