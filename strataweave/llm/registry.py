@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strataweave.llm import decontaminate, fingerprint, packing, quality, secrets, simhash, toxicity
+from strataweave.llm import decontaminate, fingerprint, html_text, packing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_best_fit_packing": packing.query,
+    "op3_html_extraction": html_text.query,
     "op4_simhash_near_dedup": simhash.query,
     "op6_secret_scans": secrets.query,
     "op7_document_fingerprints": fingerprint.query,
