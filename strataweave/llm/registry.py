@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataweave.llm import decontaminate, fingerprint, html_text, packing, quality, secrets, simhash, toxicity
+from strataweave.llm import decontaminate, fingerprint, html_text, packing, quality, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -11,7 +11,8 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash.query,
     "op6_secret_scans": secrets.query,
     "op7_document_fingerprints": fingerprint.query,
+    "op8_url_filters": urls.query,
     "op9_toxicity": toxicity.query,
     "op10_quality_classifier": quality.query,
 }
-ORACLE = {"op1_decontamination": decontaminate.ORACLE}
+ORACLE = {"op1_decontamination": decontaminate.ORACLE, "op8_url_filters": urls.ORACLE}
