@@ -66,12 +66,12 @@ def signatures(texts: pa.Array, width: int = WIDTH, bins: int = BINS, bits: int
     return low
 
 
-def pack_bits(low: np.ndarray, bits: int = BITS) -> list[str]:
-    """Each row's low bits side by side, as hex digits."""
+def pack_bits(low: np.ndarray, bits: int = BITS) -> list[bytes]:
+    """Each row's low bits side by side."""
     if bits == 8:
-        return [r.tobytes().hex() for r in low]
+        return [r.tobytes() for r in low]
     each = np.unpackbits(low[:, :, None], axis=2, bitorder="little")[:, :, :bits].reshape(len(low), -1)
-    return [r.tobytes().hex() for r in np.packbits(each, axis=1, bitorder="little")]
+    return [r.tobytes() for r in np.packbits(each, axis=1, bitorder="little")]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -82,6 +82,10 @@ def likeness(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.where(none[0] | none[1], (none[0] & none[1]).astype(float), out)
 
 
+def _digits(column: str):
+    return F.lower(F.hex(column))
+
+
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bins: int = BINS, bits: int = BITS) -> DataFrame:
     """(id_col, fingerprint) of every row; nothing is shuffled."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -89,14 +93,14 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(pack_bits(signatures(part.column("text"), width, bins, bits), bits), pa.string())], [id_col, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(pack_bits(signatures(part.column("text"), width, bins, bits), bits), pa.binary())], [id_col, "fingerprint"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, fingerprint binary").withColumn("fingerprint", _digits("fingerprint"))
 
 
 # the query: every document against an edited form and the next document --------------------------------------------------------
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(texts: list[str], following: list[str], sig: np.ndarray, next_sig: np.ndarray) -> list[pa.Array]:
@@ -105,9 +109,9 @@ def _compared(texts: list[str], following: list[str], sig: np.ndarray, next_sig:
     other = signatures(pa.array(edited, pa.large_string()))
     return [
         pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited], pa.string()),
-        pa.array(pack_bits(sig), pa.string()),
-        pa.array(pack_bits(other), pa.string()),
+        pa.array([hashlib.sha256(e.encode("utf-8")).digest() for e in edited], pa.binary()),
+        pa.array(pack_bits(sig), pa.binary()),
+        pa.array(pack_bits(other), pa.binary()),
         pa.array(likeness(sig, other)),
         pa.array(likeness(sig, next_sig)),
     ]
@@ -118,7 +122,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first, ties by text), after the last the first.
 
     Texts are range-partitioned by id once and compared in order within each task; a task's last row waits for the next task's first, so only those
-    rows, two a task, are brought together afterwards."""
+    rows, two a task, are brought together afterwards. Until then digests stay binary, half as long as their digits."""
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), text_column(df, text_col).alias("text"))
     names = ["id", *(c.split()[0] for c in _RESULT.split(", ")), "part", "first_text", "last_text"]
@@ -139,7 +143,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([ids.slice(0, n), *_compared(texts[:-1], texts[1:], sig[:-1], sig[1:]), *none], names)
             held = ids.slice(n), texts[-1], sig[-1:]
         if held is not None:
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             ends = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.string()), pa.array([held[1]], pa.string())]
             yield pa.RecordBatch.from_arrays([held[0].cast(id_type), *none, *ends], names)
 
@@ -154,7 +158,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     following = F.coalesce(F.lead("first_text").over(every), F.first("first_text").over(every))
     last = done.where("part IS NOT NULL").select("id", F.col("last_text").alias("text"), following.alias("following"))
     rows = done.where("part IS NULL").select(names[:7]).unionByName(last.mapInArrow(ends, f"id {kind}, {_RESULT}"))
-    return rows.withColumnRenamed("id", id_col)
+    return rows.withColumns({c: _digits(c) for c in names[2:5]}).withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
