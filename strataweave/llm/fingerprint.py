@@ -55,11 +55,13 @@ def densify(minima: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: pa.Array, width: int = WIDTH, bins: int = BINS, bits: int = BITS) -> np.ndarray:
-    """(texts, bins) of small unsigned integers: the low bits of the densified minima, spread once more. Rows without shingles are zero."""
+    """(texts, bins) of small unsigned integers: the low bits of the densified minima, hashed with their bin. Rows without shingles are zero."""
     words, offsets = word_hashes(texts)
     hashes, bounds = shingle_hashes(words, offsets, width)
     dense = densify(bin_minima(hashes, bounds, bins))
-    low = (mix(dense) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    # with the bin's number, so that a value copied into many bins has other low bits in each
+    spread = dense + np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    low = (mix(spread) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     empty = bounds[1:] == bounds[:-1]
     low[empty] = 0
     low[~empty & (low == 0).all(axis=1), 0] = 1
