@@ -19,17 +19,24 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit("[^.!?]*[.!?]|[^.!?]+$"), F.lit(0)), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
 
 
+def _ahead(needle: Column) -> Column:
+    """A look-ahead for the needle as it is: matches nothing, before every occurrence, overlapping ones too."""
+    return F.concat(F.lit("(?=\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+
+
 def occurrences(text: Column, needle: Column) -> Column:
-    """0-based starts of all occurrences, overlapping ones too; none for an empty needle."""
-    n, k = F.length(text), F.length(needle)
-    at = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
-    return F.when((k == 0) | (k > n) | (F.instr(text, needle) == 0), F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: F.substring(text, i + 1, k) == needle))
+    """0-based starts of all occurrences, overlapping ones too; none for an empty needle. The text is cut before each in one pass; starts are the lengths so far."""
+    none = F.array().cast("array<int>")
+    pieces = F.split(text, _ahead(needle))
+    lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
+    later = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("all")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["all"], acc["at"] + n).alias("all")), lambda acc: acc["all"])
+    found = F.when(F.startswith(text, needle), F.array_prepend(later, F.lit(0))).otherwise(later)
+    return F.when((F.length(needle) == 0) | (F.instr(text, needle) == 0), none).otherwise(found)
 
 
 def count_occurrences(text: Column, needle: Column) -> Column:
     """Number of occurrences, overlapping ones too; counted by a look-ahead in one pass."""
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    return F.when((F.length(needle) == 0) | (F.instr(text, needle) == 0), F.lit(0)).otherwise(F.regexp_count(text, quoted))
+    return F.when((F.length(needle) == 0) | (F.instr(text, needle) == 0), F.lit(0)).otherwise(F.regexp_count(text, _ahead(needle)))
 
 
 def find_first(text: Column, needle: Column) -> Column:

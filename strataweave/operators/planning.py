@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions.ids import content_hash, content_hash_col, in_scope_col, step_key_col
+from strataweave.functions.registry import identity
 from strataweave.functions.text import price, tokens_for_budget
 from strataweave.model.migration import ExecutionPolicy
 from strataweave.model.registry import Registry
@@ -40,14 +41,14 @@ def dependency_hashes(registry: Registry, schema_ref: str, step) -> dict[str, st
     out = {f"field_def:{w}": fields[w].semantic_key for w in step.writes if w in fields}
     out["step"] = step.step_hash
     if step.transform:
-        out["transform"] = content_hash([step.transform, step.params])
+        out["transform"] = content_hash([step.transform, identity("transform", step.transform), step.params])
     if step.recipe:
         r = registry.recipe(step.recipe)
         out |= {"recipe": r.recipe_hash, "prompt": r.prompt_hash, "context_policy": content_hash(step.context) if step.context else r.context.policy_hash, "model_policy": r.model_hash}
         if r.fingerprint:
             out["model_fingerprint"] = r.fingerprint
     out |= {f"vocab:{v}": registry.vocabulary(v).vocabulary_hash for v in step.vocabularies}
-    return out | {f"validator:{v}": content_hash(v) for v in step.validators}
+    return out | {f"validator:{v}": identity("validator", v) for v in step.validators}
 
 
 STEP_ROW = "from_schema string, hop int, level int, migration_id string, step_id string, kind string, scope string, writes array<string>, reads array<string>, required_reads array<string>, static map<string,string>, recipe string, to_schema string, reusable boolean, chars_per_token double, out_tokens int, permitted boolean, target_fields array<string>"
@@ -69,7 +70,7 @@ def compile_steps(spark: SparkSession, registry: Registry, starts: list[str], ta
             for level, steps in enumerate(m.levels()):
                 for s in steps:
                     r = registry.recipe(s.recipe) if s.recipe else None
-                    required = [x for x in s.reads if x not in s.writes]
+                    required = list(s.params.get("require_reads") or ())
                     rows.append(
                         (start, hop, level, m.migration_id, s.step_id, s.kind, s.scope, list(s.writes), [*s.reads, *s.optional_reads], required, dependency_hashes(registry, m.to_schema, s), s.recipe, m.to_schema, s.reusable)
                         + (r.context.chars_per_token if r else 4.0, r.out_tokens if r else OUT_TOKENS, True, sorted(registry.schema(m.to_schema).by_id()))
@@ -105,7 +106,7 @@ def missing_reads(planned: DataFrame, reads: DataFrame) -> DataFrame:
 def plan(index: DataFrame, entities: DataFrame, cells: DataFrame, steps: DataFrame, cache: DataFrame | None = None, context: DataFrame | None = None, prices: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """One row a step with its disposition: blocked, reuse, review, deterministic, cached, semantic.
 
-    cells: record_id, field_id, entity, status, value_hash, hashes, accepted, recipe_ref. context: step_key, satisfied, full_document, permitted, n_chars, context_hash."""
+    cells: record_id, field_id, entity, status, value_hash, hashes, accepted, recipe_ref. context: step_key, satisfied, on_missing, permitted_context, n_chars, context_hash, used."""
     planned = expand(index, entities, steps)
     reads = read_cells(planned, cells)
     deps = reads.groupBy("step_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("dep:"), "field_id"), F.coalesce("value_hash", F.lit("absent")))))).alias("deps"))
@@ -116,7 +117,7 @@ def plan(index: DataFrame, entities: DataFrame, cells: DataFrame, steps: DataFra
     written = judged.groupBy("step_key").agg(F.bool_and(F.col("state").isin(*REUSABLE)).alias("reusable_writes"), F.array_sort(F.collect_set("state")).alias("states"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("stale_keys")))).alias("stale_keys"))
     out = with_deps.join(written, "step_key", "left").join(missing_reads(planned, reads), "step_key", "left")
     undefined = F.size(F.array_except("writes", "target_fields")) > 0
-    cache_key = content_hash_col(recipe=F.col("recipe"), static=F.to_json("static"), deps=F.to_json("deps"), context=F.col("context_hash") if context is not None else F.lit(None).cast("string"))
+    cache_key = content_hash_col(record=F.col("record_id"), entity=F.col("entity"), step=F.col("step_id"), writes=F.array_join("writes", ","), recipe=F.col("recipe"), static=F.to_json("static"), deps=F.to_json("deps"), context=F.col("context_hash") if context is not None else F.lit(None).cast("string"))
     if context is not None:
         out = out.join(context, "step_key", "left")
     out = out.withColumn("cache_key", F.when(F.col("kind").isin("semantic", "evidence_semantic", "document_semantic"), cache_key))

@@ -215,15 +215,14 @@ def attempt_numbers(spark, d):
 
 def _first_last(spark, d):
     log = bed.log(spark, d)
-    half = log.where("field_id IN ('view', 'click', 'purchase')")
-    before = half.where("created_at < timestamp '2024-01-16'")
-    after = half.where("created_at >= timestamp '2024-01-10'")
+    before = log.where("created_at < timestamp '2024-01-16'")
+    after = log.where("created_at >= timestamp '2024-01-10'")
     keys, order = ["record_id", "field_id", "entity"], ["created_at", "artifact_id"]
     side = lambda df: artifacts.latest_per_key(df, keys, order).select(*keys, F.when(F.col("artifact_id") % 7 == 0, "not_reported").otherwise("present").alias("status"), F.when(F.col("artifact_id") % 7 != 0, F.col("value")).alias("value"))
     return side(before), side(after)
 
 
-_DIFF = """+ h AS (SELECT * FROM b_log WHERE field_id IN ('view', 'click', 'purchase')),
+_DIFF = """+ h AS (SELECT * FROM b_log),
  o AS (SELECT record_id, field_id, entity, CASE WHEN artifact_id % 7 = 0 THEN 'not_reported' ELSE 'present' END AS s, CASE WHEN artifact_id % 7 <> 0 THEN value END AS v FROM h WHERE created_at < timestamp '2024-01-16' QUALIFY row_number() OVER (PARTITION BY record_id, field_id ORDER BY created_at DESC, artifact_id DESC) = 1),
  n AS (SELECT record_id, field_id, entity, CASE WHEN artifact_id % 7 = 0 THEN 'not_reported' ELSE 'present' END AS s, CASE WHEN artifact_id % 7 <> 0 THEN value END AS v FROM h WHERE created_at >= timestamp '2024-01-10' QUALIFY row_number() OVER (PARTITION BY record_id, field_id ORDER BY created_at DESC, artifact_id DESC) = 1),
  x AS (SELECT record_id, field_id, entity, CASE WHEN o.s IS NULL THEN 'added' WHEN n.s IS NULL THEN 'removed' WHEN o.s <> n.s THEN 'status_changed' WHEN o.v IS DISTINCT FROM n.v THEN 'value_changed' ELSE 'unchanged' END AS kind FROM o FULL JOIN n USING (record_id, field_id, entity)) """
@@ -287,23 +286,23 @@ def enum_delta(spark, d):
     return out.select("field_id", F.array_join("removed", ",").alias("removed"), F.array_join("added", ",").alias("added"))
 
 
-_WALK = """+ walk(at, seen, path, hops, worst, semantic, steps) AS (SELECT dst, [src, dst], migration_id, 1, fidelity, semantic, steps FROM b_edge WHERE src = 'order@1.0'
- UNION ALL SELECT e.dst, list_append(w.seen, e.dst), w.path || '>' || e.migration_id, w.hops + 1, greatest(w.worst, e.fidelity), w.semantic + e.semantic, w.steps + e.steps FROM walk w JOIN b_edge e ON e.src = w.at WHERE NOT list_contains(w.seen, e.dst)) """
+_WALK = """+ walk(node, seen, path, hops, worst, semantic, steps) AS (SELECT dst, [src, dst], migration_id, 1, fidelity, semantic, steps FROM b_edge WHERE src = 'order@1.0'
+ UNION ALL SELECT e.dst, list_append(w.seen, e.dst), w.path || '>' || e.migration_id, w.hops + 1, greatest(w.worst, e.fidelity), w.semantic + e.semantic, w.steps + e.steps FROM walk w JOIN b_edge e ON e.src = w.node WHERE NOT list_contains(w.seen, e.dst)) """
 
 
-@query(_WALK + "SELECT path, hops, worst, semantic, steps FROM walk WHERE at = 'order@2.0'", "b_edge", recursive=True)
+@query(_WALK + "SELECT path, hops, worst, semantic, steps FROM walk WHERE node = 'order@2.0'", "b_edge", recursive=True)
 def migration_paths(spark, d):
     return schema_ops.migration_paths(spark, bed.edges(spark), "order@1.0", "order@2.0")
 
 
-@query(_WALK + "SELECT * FROM (SELECT 'fidelity' AS preference, path, hops FROM walk WHERE at = 'order@2.0' ORDER BY worst, semantic, hops, path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'cost', path, hops FROM walk WHERE at = 'order@2.0' ORDER BY semantic, worst, hops, path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'latency', path, hops FROM walk WHERE at = 'order@2.0' ORDER BY steps, hops, path LIMIT 1)", "b_edge", recursive=True)
+@query(_WALK + "SELECT * FROM (SELECT 'fidelity' AS preference, path, hops FROM walk WHERE node = 'order@2.0' ORDER BY worst, semantic, hops, path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'cost', path, hops FROM walk WHERE node = 'order@2.0' ORDER BY semantic, worst, hops, path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'latency', path, hops FROM walk WHERE node = 'order@2.0' ORDER BY steps, hops, path LIMIT 1)", "b_edge", recursive=True)
 def best_path(spark, d):
     paths = migration_paths(spark, d)
     parts = [schema_ops.best_path(paths, p).select(F.lit(p).alias("preference"), "path", "hops") for p in ("fidelity", "cost", "latency")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(_WALK + "SELECT at AS version, min(hops) AS hops FROM walk GROUP BY 1", "b_edge", recursive=True)
+@query(_WALK + "SELECT node AS version, min(hops) AS hops FROM walk GROUP BY 1", "b_edge", recursive=True)
 def reachable(spark, d):
     return schema_ops.reachable(spark, bed.edges(spark), "order@1.0")
 
@@ -432,11 +431,11 @@ def fallback_chain(spark, d):
     return context.resolve(_requests(spark, d), bed.unit(spark, d), policy)[1].select("request_id", "used")
 
 
-_SPAN = """+ sp AS (SELECT source_id, unit_id, CAST(5 AS INTEGER) AS s, CAST(25 AS INTEGER) AS e, text FROM b_unit WHERE ordinal = 1) """
+_SPAN = """+ sp AS (SELECT source_id, unit_id, CAST(5 AS INTEGER) AS s, CAST(25 AS INTEGER) AS e, text FROM b_unit) """
 
 
 def _spans(spark, d):
-    return bed.unit(spark, d).where("ordinal = 1").select("source_id", "unit_id", F.lit(5).alias("start"), F.lit(25).alias("end"))
+    return bed.unit(spark, d).select("source_id", "unit_id", F.lit(5).alias("start"), F.lit(25).alias("end"))
 
 
 @query(_SPAN + "SELECT source_id, unit_id, substring(text, 6, 20) AS slice FROM sp", "b_unit")
@@ -464,13 +463,13 @@ def text_size(spark, d):
     return context.text_size(bed.unit(spark, d))
 
 
-# evidence: the stored span is the beginning of unit 1, the new parse are sentences ----------------------------------------------------------------
+# evidence: a stored span is the beginning of a unit, the new parse are sentences ----------------------------------------------------------------
 
 _SENTENCES = """+ se AS (SELECT source_id, 'n:' || row_number() OVER (PARTITION BY source_id ORDER BY ordinal, k) AS unit_id, row_number() OVER (PARTITION BY source_id ORDER BY ordinal, k) AS ordinal, t FROM (
  SELECT source_id, ordinal, unnest(s) AS t, generate_subscripts(s, 1) AS k FROM (SELECT source_id, ordinal, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM b_unit))),
- q AS (SELECT source_id, substring(text, 1, 30) AS x FROM b_unit WHERE ordinal = 1),
- hit AS (SELECT source_id, x, unit_id, ordinal, len(list_filter(range(1, greatest(length(t) - length(x) + 2, 1)), lambda i: substring(t, i, length(x)) = x)) AS k, position(x IN t) - 1 AS at FROM q JOIN se USING (source_id) WHERE contains(t, x)),
- o AS (SELECT q.source_id, CASE WHEN coalesce(sum(k), 0) = 1 THEN 'reanchored' WHEN sum(k) > 1 THEN 'ambiguous' ELSE 'lost' END AS outcome FROM q LEFT JOIN hit ON hit.source_id = q.source_id GROUP BY 1) """
+ q AS (SELECT source_id, unit_id AS span_id, substring(text, 1, 30) AS x FROM b_unit),
+ hit AS (SELECT source_id, span_id, se.unit_id, ordinal, len(list_filter(range(1, greatest(length(t) - length(x) + 2, 1)), lambda i: substring(t, i, length(x)) = x)) AS k, position(x IN t) - 1 AS pos FROM q JOIN se USING (source_id) WHERE contains(t, x)),
+ o AS (SELECT q.source_id, q.span_id, CASE WHEN coalesce(sum(k), 0) = 1 THEN 'reanchored' WHEN sum(k) > 1 THEN 'ambiguous' ELSE 'lost' END AS outcome FROM q LEFT JOIN hit USING (source_id, span_id) GROUP BY ALL) """
 
 
 def _reanchored(spark, d):
@@ -478,13 +477,13 @@ def _reanchored(spark, d):
     new = units.select("source_id", "ordinal", F.posexplode(text.sentences(F.col("text"))).alias("k", "text"))
     n = F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal", "k"))
     new = new.select("source_id", n.alias("ordinal"), "text").withColumn("unit_id", F.concat(F.lit("n:"), "ordinal"))
-    spans = units.where("ordinal = 1").select("source_id", F.lit("s").alias("span_id"), "unit_id", F.lit(0).alias("start"), F.least(F.lit(30), F.length("text")).alias("end"), F.substring("text", 1, 30).alias("text"))
+    spans = units.select("source_id", F.col("unit_id").alias("span_id"), "unit_id", F.lit(0).alias("start"), F.least(F.lit(30), F.length("text")).alias("end"), F.substring("text", 1, 30).alias("text"))
     return spans, new
 
 
 @query(_SENTENCES + "SELECT * FROM o", "b_unit")
 def reanchor_outcomes(spark, d):
-    return documents.reanchor(*_reanchored(spark, d)).select("source_id", "outcome")
+    return documents.reanchor(*_reanchored(spark, d)).select("source_id", "span_id", "outcome")
 
 
 @query(_SENTENCES + "SELECT outcome, count(*) AS n FROM o GROUP BY 1", "b_unit")
@@ -492,22 +491,30 @@ def reanchor_totals(spark, d):
     return documents.outcome_totals(documents.reanchor(*_reanchored(spark, d)))
 
 
-@query(_SENTENCES + "SELECT q.source_id, arg_min(unit_id, ordinal) AS unit_id, CAST(arg_min(at, ordinal) AS INTEGER) AS start FROM q LEFT JOIN hit ON hit.source_id = q.source_id GROUP BY 1", "b_unit")
+@query(_SENTENCES + "SELECT q.source_id, q.span_id AS quote_id, arg_min(unit_id, ordinal) AS unit_id, CAST(arg_min(pos, ordinal) AS INTEGER) AS start FROM q LEFT JOIN hit USING (source_id, span_id) GROUP BY ALL", "b_unit")
 def quote_placement(spark, d):
     spans, new = _reanchored(spark, d)
-    return documents.place_quotes(spans.select("source_id", F.col("span_id").alias("quote_id"), F.col("text").alias("quote")), new, "source_id").select("source_id", "unit_id", "start")
+    return documents.place_quotes(spans.select("source_id", F.col("span_id").alias("quote_id"), F.col("text").alias("quote")), new, "source_id").select("source_id", "quote_id", "unit_id", "start")
 
 
-@query("SELECT doc_id, CASE WHEN len(list_filter(range(1, greatest(length(text) - 1, 1)), lambda i: substring(text, i, 3) = 'the')) = 1 THEN CAST(position('the' IN text) - 1 AS INTEGER) END AS start FROM documents WHERE n_chars < 3000")
+# occurrences of a word that can't overlap itself, and of a sign twice, which can: a run of k signs holds k - 1
+
+
+@query("SELECT doc_id, CASE WHEN length(text) - length(replace(text, 'password', '')) = 8 THEN CAST(position('password' IN text) - 1 AS INTEGER) END AS start FROM documents")
 def find_span_unique(spark, d):
-    docs = bed.table(spark, d, "documents").where("n_chars < 3000")
-    return docs.select("doc_id", text.find_unique(F.col("text"), F.lit("the")).alias("start"))
+    return bed.table(spark, d, "documents").select("doc_id", text.find_unique(F.col("text"), F.lit("password")).alias("start"))
 
 
-@query("SELECT doc_id, len(list_filter(range(1, greatest(length(text) - 0, 1)), lambda i: substring(text, i, 2) = 'an')) AS n FROM documents WHERE n_chars < 2000")
+@query("SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, 'l+'), lambda x: length(x) - 1)), 0)::BIGINT AS n FROM documents")
 def overlapping_occurrences(spark, d):
-    docs = bed.table(spark, d, "documents").where("n_chars < 2000")
-    return docs.select("doc_id", long(F.size(text.occurrences(F.col("text"), F.lit("an")))).alias("n"))
+    return bed.table(spark, d, "documents").select("doc_id", long(text.count_occurrences(F.col("text"), F.lit("ll"))).alias("n"))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(range(1, len(p)), lambda k: length(array_to_string(p[1:k], 'password'))), ',') AS starts FROM (SELECT doc_id, string_split(text, 'password') AS p FROM documents) WHERE len(p) > 1")
+def occurrence_starts(spark, d):
+    starts = text.occurrences(F.col("text"), F.lit("password"))
+    out = bed.table(spark, d, "documents").where(F.contains("text", F.lit("password"))).select("doc_id", starts.alias("s"))
+    return out.select("doc_id", F.array_join(F.transform("s", lambda k: k.cast("string")), ",").alias("starts"))
 
 
 @query("SELECT lang, count(*) AS n, sum(CASE WHEN regexp_extract(text, 'password ?[=:] ?([a-z0-9]+)', 1) <> '' THEN 1 ELSE 0 END)::BIGINT AS with_value, count(DISTINCT nullif(regexp_extract(text, 'password ?[=:] ?([a-z0-9]+)', 1), '')) AS distinct_values FROM documents GROUP BY 1")
@@ -565,7 +572,7 @@ def validate_worst(spark, d):
 
 
 def _evidence_cells(spark, d):
-    units = bed.unit(spark, d).where("ordinal <= 2").groupBy("source_id").agg(F.collect_list("text").alias("texts"))
+    units = bed.unit(spark, d).groupBy("source_id").agg(F.collect_list("text").alias("texts"))
     return bed.table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.lit("present").alias("status"), F.concat(F.lit("THE "), F.substring("text", 1, 3)).alias("value"), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("n_spans")).join(units, "source_id", "left")
 
 
@@ -574,7 +581,7 @@ def require_evidence(spark, d):
     return _evidence_cells(spark, d).select("source_id", validation.require_evidence().alias("outcome"))
 
 
-@query("SELECT doc_id AS source_id, CASE WHEN coalesce(list_bool_or(list_transform(texts, lambda t: contains(lower(t), lower('THE ' || substring(text, 1, 3))))), false) THEN 'pass' ELSE 'review' END AS outcome FROM documents LEFT JOIN (SELECT source_id, list(text) AS texts FROM b_unit WHERE ordinal <= 2 GROUP BY 1) u ON u.source_id = doc_id", "b_unit")
+@query("SELECT doc_id AS source_id, CASE WHEN coalesce(list_bool_or(list_transform(texts, lambda t: contains(lower(t), lower('THE ' || substring(text, 1, 3))))), false) THEN 'pass' ELSE 'review' END AS outcome FROM documents LEFT JOIN (SELECT source_id, list(text) AS texts FROM b_unit GROUP BY 1) u ON u.source_id = doc_id", "b_unit")
 def value_supported(spark, d):
     return _evidence_cells(spark, d).select("source_id", validation.supports_value().alias("outcome"))
 
@@ -708,9 +715,9 @@ def export_lines(spark, d):
     return back.select("record_id", long(F.size("provenance")).alias("n"), ids.text_hash_col(F.array_join(parts, ",")).alias("lines"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(substring(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, 'sha256:' || substring(sha256(trim(regexp_replace(substring(text, 1, 200), '\\s+', ' ', 'g'))), 1, 16) AS hash FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, 'sha256:' || substring(sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 16) AS hash FROM documents")
 def slugs_and_hashes(spark, d):
-    return bed.table(spark, d, "documents").select("doc_id", ids.slug_col(F.substring("text", 1, 40)).alias("slug"), ids.text_hash_col(ids.normalise_space_col(F.substring("text", 1, 200))).alias("hash"))
+    return bed.table(spark, d, "documents").select("doc_id", ids.slug_col(F.col("text")).alias("slug"), ids.text_hash_col(ids.normalise_space_col(F.col("text"))).alias("hash"))
 
 
 @query("SELECT DISTINCT schema_ref, split_part(schema_ref, '@', 1) AS name, split_part(schema_ref, '@', 2) AS version FROM b_record", "b_record")
