@@ -230,11 +230,8 @@ def _compare(a: FieldDefinition, b: FieldDefinition) -> list[Change]:
 
 
 def similarity(a: FieldDefinition, b: FieldDefinition) -> float:
-    """How alike name and description are (only same types can be high)."""
-    last = lambda f: f.path.rsplit(".", 1)[-1]
-    name = difflib.SequenceMatcher(None, last(a), last(b)).ratio()
-    text = difflib.SequenceMatcher(None, a.description, b.description).ratio() if a.description and b.description else name
-    return (name + text) / 2 if a.base_type == b.base_type else (name + text) / 4
+    """How alike the last names of both paths are."""
+    return difflib.SequenceMatcher(None, a.path.rsplit(".", 1)[-1], b.path.rsplit(".", 1)[-1]).ratio()
 
 
 def diff_schemas(old: Schema, new: Schema, renames: dict[str, str] | None = None) -> SchemaDiff:
@@ -252,7 +249,7 @@ def diff_schemas(old: Schema, new: Schema, renames: dict[str, str] | None = None
     had, has = set(old.collections()), set(new.collections())
     changes += [Change("collection_added", c) for c in sorted(has - had)] + [Change("collection_removed", c) for c in sorted(had - has)]
     gone, come = [a[i] for i in a if i not in b], [b[i] for i in b if i not in a]
-    near = [(x.field_id, y.field_id, round(s, 3)) for x in gone for y in come if x.collection == y.collection and (s := similarity(x, y)) >= 0.6]
+    near = [(x.path, y.path, s) for x in gone for y in come if x.collection == y.collection and (s := similarity(x, y)) >= 0.6]
     return SchemaDiff(old.ref, new.ref, tuple(changes), tuple(sorted(near, key=lambda c: (-c[2], c[0], c[1]))))
 
 
