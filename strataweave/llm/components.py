@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     spark = edges.sparkSession
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     start = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current, path = write_cut(start)
+    current, path = write_cut(start, gathered=True)
     loops = current.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     kept, first, seen = path, current.where("a <> b"), None
     current = first
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if row["n"] == 0 or (row["n"], row["s"]) == seen:
             break
         seen = (row["n"], row["s"])
-        current, new = write_cut(_small_star(_large_star(current)))
+        current, new = write_cut(_small_star(_large_star(current)), gathered=True)
         if path != kept:
             discard(spark, path)
         path = new

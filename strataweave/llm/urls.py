@@ -78,7 +78,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     url = F.col("url")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     rows = rows.withColumns({"host": host_of(url), "path": path_of(url), "node": resource_key(url)})
-    judged = cut(by_rule(rows, rules))
+    judged = cut(by_rule(rows, rules), gathered=True)
     links = page_links(pages, url_col, html_col) if html_col else None
     if redirects is not None:
         own = redirects.select("from_url", "to_url")
