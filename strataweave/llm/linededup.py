@@ -83,15 +83,15 @@ def _marked(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(k1, near): lines within one edit of an earlier one, and the least first document of those."""
     keyed = distinct.select("k1", F.explode(F.array("a1", "a2", "b1", "b2")).alias("key")).where("key IS NOT NULL")
-    groups = cut(keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("k1").alias("x"), F.max("k1").alias("y")).where("c > 1 AND x <> y"))
-    members = cut(keyed.join(groups.where("c > 2").select("key", "c"), "key"))
+    groups = cut(keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("k1").alias("x"), F.max("k1").alias("y")).where("c > 1 AND x <> y"), gathered=True)
+    members = cut(keyed.join(groups.where("c > 2").select("key", "c"), "key"), gathered=True)
     some = members.where(f"c <= {GROUP}")
     paired = some.alias("s").join(some.alias("t"), "key").where("s.k1 < t.k1").select(F.col("s.k1").alias("x"), F.col("t.k1").alias("y"))
-    pairs = cut(groups.where("c = 2").select("x", "y").unionByName(paired).distinct())
+    pairs = cut(groups.where("c = 2").select("x", "y").unionByName(paired).distinct(), gathered=True)
     hot = members.where(f"c > {GROUP}").select("k1").distinct()
     wanted = pairs.select(F.col("x").alias("k1")).unionByName(pairs.select(F.col("y").alias("k1"))).unionByName(hot)
     texts = _marked(lines, _bitmap(wanted)).groupBy("k1", "k2").agg(F.first("line").alias("line"), F.min("id").alias("first"))
-    texts = cut(texts.join(wanted.distinct(), "k1", "left_semi"))
+    texts = cut(texts.join(wanted.distinct(), "k1", "left_semi"), gathered=True)
     a, b = (texts.select(F.col("k1").alias(k), F.col("line").alias(f"{k}_line"), F.col("first").alias(f"{k}_first")) for k in ("x", "y"))
     close = F.levenshtein("x_line", "y_line", EDITS)
     verified = pairs.join(a, "x").join(b, "y").where((close >= 0) & (1 - close / F.greatest(F.length("x_line"), F.length("y_line")) >= LEAST_SIMILARITY))
@@ -105,7 +105,7 @@ def _hot_lines(texts: DataFrame) -> DataFrame:
     near, place = _near_from(), F.col("place")
     rest = F.concat(F.substring("line", F.lit(1), place - 1), F.substring("line", place + 1, F.length("line")))
     out = texts.where(F.length("line") >= near).select("k1", "first", "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("place")).select("k1", "first", "place", F.xxhash64(rest).alias("rest"), F.length("line").alias("length"))
-    out = cut(out)
+    out = cut(out, gathered=True)
     # one length, one place: all within one edit of each other
     keys = ["length", "place", "rest"]
     least = out.groupBy(*keys).agg(F.count("*").alias("c"), F.min("first").alias("f")).where("c > 1").drop("c")
@@ -124,8 +124,8 @@ def _hot_lines(texts: DataFrame) -> DataFrame:
 def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, r, gone, n_exact, n_near, dup_of) of every row that loses lines: their places, how many for which reason, and the documents that keep them."""
     lines = lines_of(df, id_col, text_col)
-    distinct = cut(distinct_lines(lines))
-    near = cut(near_lines(lines, distinct))
+    distinct = cut(distinct_lines(lines), gathered=True)
+    near = cut(near_lines(lines, distinct), gathered=True)
     judged = distinct.select("k1", "k2", "first", "n").join(near, "k1", "left").where("n > 1 OR near IS NOT NULL").drop("n")
     found = lines.select("id", "r", "no", "k1", "k2").join(judged, ["k1", "k2"])
     found = found.repartition("id", "r").dropDuplicates(["id", "r", "no"])
