@@ -11,7 +11,7 @@ from strataweave.functions import ids, text
 from strataweave.functions.status import has_value
 from strataweave.model.recipe import ContextPolicy
 from strataweave.operators import artifacts, context, diffing, documents, evaluation, planning, records, review, running, schema_ops, validation
-from strataweave.plans import bed
+from strataweave.plans import bed, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -729,3 +729,9 @@ def version_refs(spark, d):
 def distinct_field_sets(spark, d):
     c = bed.cell(spark, d).where(has_value(F.col("status")))
     return c.groupBy("record_id").agg(F.count("*").alias("n"), F.get(F.array_sort(F.collect_set("field_id")), F.lit(0)).alias("first_field"))
+
+
+# whole runs ----------------------------------------------------------------------------------------------------------------------------
+
+QUERIES |= {"run_end_to_end": runs.run_end_to_end, "escalation_waves": runs.escalation_waves, "shadow_agreement": runs.shadow_agreement}
+ORACLE |= {"run_end_to_end": runs.RUN_SQL, "shadow_agreement": runs.SHADOW_SQL}

@@ -93,12 +93,9 @@ def as_cells(df: DataFrame, created_at: str, **constants) -> DataFrame:
     """Rows (record_id, field_id, entity, status, value_json, ...) as artifacts: what is missing is null, the id is the hash of what the cell is."""
     kinds = dict(c.split(" ", 1) for c in TABLES["field_artifact"].replace("map<string,string>", "map<string;string>").replace(SPAN, SPAN.replace(",", ";")).split(", "))
     kinds = {k: v.replace(";", ",") for k, v in kinds.items()}
-    for name, kind in kinds.items():
-        if name in constants:
-            df = df.withColumn(name, F.lit(constants[name]).cast(kind))
-        elif name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    df = df.withColumns({"unlocated": F.coalesce("unlocated", F.lit(0)), "accepted": F.coalesce("accepted", F.lit(False)), "value_hash": value_hash_col(F.col("status"), F.col("value_json")), "created_at": F.lit(created_at)})
+    have, of = set(df.columns) - set(constants), lambda n: F.col(n) if n in have else F.lit(constants.get(n)).cast(kinds[n])
+    own = {n: of(n) for n in kinds} | {"unlocated": F.coalesce(of("unlocated"), F.lit(0)), "accepted": F.coalesce(of("accepted"), F.lit(False)), "value_hash": value_hash_col(of("status"), of("value_json")), "created_at": F.lit(created_at)}
+    df = df.select(*(c.alias(n) for n, c in own.items()))
     identity = content_hash_col(
         record=F.col("record_id"), field=F.col("field_id"), entity=F.col("entity"), value=F.col("value_hash"), reason=F.col("reason"), evidence=F.to_json("evidence"), unlocated=F.col("unlocated"),
         hashes=F.to_json(F.map_from_entries(F.array_sort(F.map_entries("hashes")))), recipe=F.col("recipe_ref"), accepted=F.col("accepted"), actor=F.col("actor"), schema=F.col("schema_ref"), step=F.concat_ws("/", "migration_id", "step_id"), lineage=F.col("lineage"),

@@ -90,13 +90,15 @@ class Project:
         """(keys, evidence, unlocated) that wrapped values carry beside them."""
         out = None
         for path in ["", *schema.collections()]:
+            structs = []
             for f in schema.fields_in(path):
-                level = self._level(part, schema, path)
                 wrapper = records.json_get(F.col("doc"), [*schema.relative(f.path, path).split("."), "evidence"])
                 sets = F.from_json(F.to_json(F.try_variant_get(wrapper, "$.sets", "variant")), _EVIDENCE)
                 spans = F.flatten(F.transform(sets, lambda s: F.transform(s["spans"], lambda x: F.struct(s["source_id"].alias("source_id"), x["unit_id"].alias("unit_id"), x["start_char"].alias("start"), x["end_char"].alias("end"), x["text"].alias("text")))))
-                row = level.select("record_id", F.lit(f.field_id).alias("field_id"), "entity", spans.alias("evidence"), F.coalesce(F.try_variant_get(wrapper, "$.unlocated_quotes", "int"), F.lit(0)).alias("unlocated")).where("size(evidence) > 0 OR unlocated > 0")
-                out = row if out is None else out.unionByName(row)
+                structs.append(F.struct(F.lit(f.field_id).alias("field_id"), spans.alias("evidence"), F.coalesce(F.try_variant_get(wrapper, "$.unlocated_quotes", "int"), F.lit(0)).alias("unlocated")))
+            if structs:
+                rows = self._level(part, schema, path).select("record_id", "entity", F.explode(F.array(*structs)).alias("x")).where("size(x.evidence) > 0 OR x.unlocated > 0").select("record_id", "entity", "x.*")
+                out = rows if out is None else out.unionByName(rows)
         return out
 
     def _level(self, part: DataFrame, schema, path: str) -> DataFrame:
