@@ -266,6 +266,36 @@ def test_lines_against_all_pairs(spark, monkeypatch, group):
     assert sorted(((-1 if r.doc_id is None else r.doc_id, r.text, r.n_exact, r.n_near, r.dup_of) for r in got), key=str) == _lines_brute(spark, rows)
 
 
+def test_banded_distance_against_the_whole_matrix(spark):
+    from pyspark.sql import functions as F
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(7)
+    rows = []
+    for _ in range(800):
+        a = [rng.choice("abé\U0001f600") for _ in range(rng.randint(4, 14))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "b", "é"])
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame([*rows, ("a", "b"), ("abcdef", "b"), (None, "abcd")], "a string, b string")
+    for most in (1, 2, 3):
+        for r in df.select("a", "b", linededup.banded_distance(F.col("a"), F.col("b"), most).alias("d")).collect():
+            if r.a is None or min(len(r.a), len(r.b)) <= most:
+                assert r.d is None
+            else:
+                want = distance(r.a, r.b)
+                assert r.d == (want if want <= most else -1), (r, most)
+
+
 def test_lines_without_python(spark, data):
     plan = linededup.query(spark, data)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
