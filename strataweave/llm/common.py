@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once; a single longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 _OWN_DIR: list[str] = []
 
 
@@ -39,12 +39,12 @@ def _path(spark: SparkSession, path: str):
 def write_cut(df: DataFrame, gathered: bool = False) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
 
-    gathered: for small rows that come out of a shuffle. They go to fewer files, an eighth of the shuffle's partitions but four for each core at least, since
+    gathered: for small rows that come out of a shuffle. They go to fewer files, a sixteenth of the shuffle's partitions but two for each core at least, since
     every file costs several calls to the file system (and, on a local one, processes), whatever is in it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sw-{uuid.uuid4().hex}"
     if gathered:
-        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
     p, fs = _path(spark, path)
     fs.deleteOnExit(p)
