@@ -3,10 +3,13 @@
 import json
 
 import bed_project as bed
+import pytest
 from strataweave import cli
 from strataweave.model.codec import to_value
 from strataweave.model.migration import dump_migrations
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def run(spark, capsys, store, *argv, code=0, **project):
     got = cli.main(["--store", store, *argv, "--json"], spark, **({"wrapped": True, "adapters": {"main": bed.model()}} | project))

@@ -16,18 +16,7 @@ from strataweave.project import Project
 from strataweave.sources import jsonl
 
 LOSSY = ExecutionPolicy(allow_lossy=True)
-
-
-@pytest.fixture(autouse=True, scope="module")
-def interpreted(spark):
-    """A few rows a plan: compiling each plan would take most of the time."""
-    changed = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"}
-    before = {k: spark.conf.get(k) for k in changed}
-    for k, v in changed.items():
-        spark.conf.set(k, v)
-    yield
-    for k, v in before.items():
-        spark.conf.set(k, v)
+pytestmark = pytest.mark.usefixtures("interpreted")
 
 
 def made(spark, tmp_path, n=8, registry=None, adapters=None, **more):

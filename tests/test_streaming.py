@@ -3,9 +3,12 @@
 import json
 
 import bed_project as bed
+import pytest
 from strataweave.project import Project
 from strataweave.streaming.ingest import ingest_stream
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def test_files_come_in_once(spark, tmp_path):
     p = Project(spark, str(tmp_path / "store"), bed.registry(), wrapped=True)
