@@ -3,7 +3,8 @@ r"""Secret scans with corpus-wide ownership frequency.
 Base kinds are found by pattern in every text (see BASE). Besides these, every other token that could be a credential (TOKEN: long, of letters and
 digits mixed, of high entropy) is a candidate. Candidates and base finds are hashed, and the hashes aggregated over the corpus by distinct
 repositories and owners: a value that many owners carry is a widely copied example; one that belongs to a single owner looks live. Base spans
-always stay; a candidate token becomes a span (kind `owned`) where at most `max_owners` owner and `max_repos` repositories have it.
+always stay; a candidate token becomes a span (kind `owned`) unless it is such an example: a key in a document that is copied to a second owner or
+repository is `shared`, and stays.
 
 Aggregation is in two steps, first by (hash, owner, repository), so that a value in a third of all rows costs one row a task. Values themselves
 never leave their task, only digests do.
@@ -109,7 +110,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict = F.when((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos), "live").when(F.col("n_owners") >= example_owners, "example").otherwise("shared")
     each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("x")).select("row", "x.*")
     judged = each.join(counts, "digest").select("row", F.struct("start", "kind", "end", "digest", "n_owners", "n_repos", verdict.alias("verdict")).alias("x"))
-    kept = judged.where("x.kind < 3 OR x.verdict = 'live'").groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("spans"))
+    kept = judged.where("x.kind < 3 OR x.verdict <> 'example'").groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("spans"))
     return rows.join(kept, "row", "left").select(F.col("id").alias(id_col), "base_sha256", "spans")
 
 
@@ -120,6 +121,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(k) for k in KINDS))
     of = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
     as_text = F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    live = F.size(F.filter(spans, lambda x: x["verdict"] == "live")).cast("long")
-    example = F.size(F.filter(spans, lambda x: x["verdict"] == "example")).cast("long")
-    return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), "base_sha256", as_text.alias("spans"), live.alias("n_live"), example.alias("n_example"))
+    judged = lambda v: F.size(F.filter(spans, lambda x: x["verdict"] == v)).cast("long")
+    return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), "base_sha256", as_text.alias("spans"), judged("live").alias("n_live"), judged("example").alias("n_example"), judged("shared").alias("n_shared"))

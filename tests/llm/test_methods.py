@@ -323,6 +323,13 @@ def test_ownership_tells_examples_from_live(spark):
     assert all(got[k].spans is None for k in range(10)) and got[51].spans is None
 
 
+def test_shared_values_stay(spark):
+    twice, languages, example = "aB3dE5gH7jK9mN1pQ3sT5vX7", "qW2eR4tY6uI8oP1aS3dF5gH7", "zY9xW7vU5tS3rQ1pN9mL7kJ5"
+    rows = [(1, f"use {twice} now", "a", "en"), (2, f"use {twice} now", "b", "en"), (3, f"or {languages}", "a", "en"), (4, f"or {languages}", "a", "de")] + [(10 + k, f"see {example}", f"o{k}", "en") for k in range(3)]
+    got = {r.doc_id: [x.verdict for x in r.spans or []] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert all(got[k] == ["shared"] for k in (1, 2, 3, 4)) and all(got[10 + k] == [] for k in range(3))
+
+
 def test_likeness_is_close_and_unbiased(spark, docs, data):
     rows = {r.doc_id: r for r in fingerprint.query(spark, data).collect()}
     order = sorted(docs)
