@@ -15,13 +15,14 @@ Pages are range-partitioned by host and path, so that one large host is spread o
 A task's first and last page wait for the neighbouring tasks' (two rows a task).
 
 Defined results: null or empty html gives an empty text; a null url counts as empty (host and path empty); repeated rows are extracted each and are copies of
-each other; an unclosed element ends with the page; an empty table gives no rows; extra columns are not read."""
+each other; an unclosed element ends with the page, but list items, table parts and paragraphs where HTML lets their end tag be left out; a < that begins no tag is text; an empty table gives no rows; extra columns are not read."""
 
 from __future__ import annotations
 
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,11 +43,24 @@ _TAG = re.compile(
     r"|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
+_UNFINISHED = re.compile(r"<[a-zA-Z!?/]")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav footer aside form menu dialog fieldset head".split())
 _FIRM = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote dd dt figcaption caption".split())
+_PARTS = frozenset("tr tbody thead tfoot".split())
+#: Elements whose end tag may be missing: the start tags that end them (a paragraph ends at any block), and what holds others of their kind inside them.
+_OPEN_ENDED = {
+    "p": (frozenset(), ()),
+    "li": (frozenset({"li"}), ("ul", "ol", "menu")),
+    **{x: (frozenset({"dt", "dd"}), ("dl",)) for x in ("dt", "dd")},
+    **{x: (_PARTS | {"td", "th"}, ("table",)) for x in ("td", "th")},
+    "tr": (_PARTS, ("table",)),
+    **{x: (_PARTS - {"tr"}, ("table",)) for x in ("tbody", "thead", "tfoot")},
+}
+#: End tags that end an open cell, row or part of a table.
+_OUTER = {**{x: _PARTS | {"table"} for x in ("td", "th")}, "tr": _PARTS - {"tr"} | {"table"}, **{x: frozenset({"table"}) for x in ("tbody", "thead", "tfoot")}}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist tooltip status".split())
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription "
@@ -84,11 +98,27 @@ def _role(name: str, attrs: dict[str, str], inside: bool) -> str:
     return ""
 
 
+def _over(drop: str, name: str, close: bool, inner: Counter) -> bool:
+    """Whether an element whose end tag may be missing is over at this tag, which isn't its own end tag. inner: what is open inside it."""
+    siblings, holders = _OPEN_ENDED[drop]
+    held = any(inner[h] for h in holders)
+    if not close:
+        if not held and (name in siblings or drop == "p" and name not in _INLINE):
+            return True
+        inner[name] += name not in _VOID
+    elif inner[name]:
+        inner[name] -= 1
+    elif not held:
+        return name in _OUTER[drop] if drop in _OUTER else name not in _INLINE and name not in _FIRM and not inner["table"]
+    return False
+
+
 def blocks(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
     """(lines in page order, each with whether it is loose; whether the page declares its article). Furniture is left out."""
     lines: list[tuple[str, bool, bool]] = []
     text: list[str] = []
     drop, drop_depth = "", 0  # the element whose end brings text back
+    inner: Counter = Counter()
     mains: list[str] = []  # open elements named as a declared article, or of the same name inside one
     depth_main = 0
     firm: list[str] = []
@@ -112,13 +142,18 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
             continue
         name, close = name.lower(), m["close"] == "/"
         if drop:
-            if name == drop and not m["attrs"].endswith("/"):
+            if drop in _OPEN_ENDED:
+                if close and name == drop and not any(inner[h] for h in _OPEN_ENDED[drop][1]):
+                    drop = ""
+                    continue
+                if _over(drop, name, close, inner):
+                    drop = ""
+            elif name == drop and not m["attrs"].endswith("/"):
                 drop_depth += -1 if close else 1
                 if not drop_depth:
                     drop = ""
-            elif drop == "p" and not close and name not in _INLINE:  # a paragraph ends where the next block begins
-                drop = ""
-            if drop or close:
+                    continue
+            if drop:
                 continue
         if name == "br":
             text.append(" ")
@@ -139,6 +174,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
             continue
         if role == "drop":
             drop, drop_depth = name, 1
+            inner.clear()
             continue
         if role == "main" or mains and name == mains[-1].lstrip("*"):
             mains.append("*" + name if role == "main" else name)
@@ -149,7 +185,8 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
                 firm = [x for x in firm if x != "p"]
             firm.append(name)
     if at < len(page) and not drop:
-        text.append(page[at:].partition("<")[0] if "<" in page[at:] else page[at:])
+        unfinished = _UNFINISHED.search(page, max(at, page.rfind(">") + 1))
+        text.append(page[at : unfinished.start() if unfinished else len(page)])
     flush()
     declared = any(inside for _, _, inside in lines)
     return [(line, loose) for line, loose, inside in lines if inside or not declared], declared

@@ -148,6 +148,20 @@ def test_furniture_goes():
     assert html_text.blocks("<div>a</div><!-- <p>b</p> --><p>c &lt; d")[0] == [("a", True), ("c < d", False)]
 
 
+def test_text_after_the_last_tag_stays():
+    texts = lambda page: [t for t, _ in html_text.blocks(page)[0]]
+    assert texts("a < b and more") == ["a < b and more"] and texts("<p>x < 5 and y <3 or so") == ["x < 5 and y <3 or so"]
+    assert texts("<p>one<a href='x") == ["one"] and texts("<p>one</p") == ["one"] and texts("a < b <!-- c") == ["a < b"]
+
+
+def test_dropped_elements_end_where_their_end_tag_is_left_out():
+    texts = lambda page: [t for t, _ in html_text.blocks(page)[0]]
+    assert texts('<table><tr><td class="menu">m<table><tr><td>n<td>o</table><td>article<tr class="ad"><td>x<tr><td>y</table><p>z') == ["article", "y", "z"]
+    assert texts('<ul><li class="share">s<ul><li>t</ul><li>u</ul><p>article') == ["u", "article"] and texts('<ul><li class="share">s</ul><p>article') == ["article"]
+    assert texts('<dl><dt>a<dd class="ad">b<dt>c</dl>') == ["a", "c"] and texts('<div><ul><li class="share">s</div>article') == ["article"]
+    assert texts('<div><p class="ad">b<p>c</div>') == ["c"] and texts('<ul><li class="share">s</li>t<li>u</ul>') == ["t", "u"]
+
+
 def test_differencing_of_neighbours(spark):
     page = "<body><div>Menu line</div><div>Welcome</div><p>Story {0} one</p><p>Story {0} two</p><div>Bottom</div></body>"
     rows = [(i, f"http://h.com/a/{i:03}", page.format(i)) for i in range(40)] + [(100 + i, "http://copy.com/x", page.format(7)) for i in range(3)] + [(200, "http://alone.com/", page.format(8))]
