@@ -9,11 +9,16 @@ blocked if a member of its component is blocked by a rule and none is allowed by
 Hosts are matched against rules by equality: each URL's host gives its suffixes, each of them its rules, so no URL is compared with every rule
 (rules are a list of any length, joined; small ones are broadcast by Spark's own size check).
 
-Defined results: a null URL or one without :// has empty host and path, no rule and no links, and is allowed; repeated rows are judged each; relative targets without
-:// are resolved against the page's host where they start with / and left out otherwise; an empty table gives no rows; extra columns aren't read."""
+Defined results: a null URL or one without :// has empty host and path, no rule and no links, and is allowed; repeated rows are judged each; character references
+in targets are decoded as HTML does in attributes; relative targets are resolved against the page's URL, or its first <base href>, as RFC 3986 has it, and absolute ones stay as they are spelled;
+targets of other schemes (mailto:) and relative ones of a page without host are left out; an empty table gives no rows; extra columns aren't read."""
 
 from __future__ import annotations
 
+import html as entities
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,15 +67,76 @@ def by_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(per_host, "host", "left").withColumn("best", best).withColumns({"rule": F.col("best.rule"), "rule_verdict": F.col("best.rule_verdict")}).drop("fits", "best")
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unescape(value: Column) -> Column:
+    """An attribute's value with its character references decoded: numbers, and names with ; or, where neither = nor a letter or digit follows, the old ones without."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    numbers = F.from_json(F.lit(json.dumps({str(k): entities.unescape(f"&#{k};") for k in (0, 13, *range(128, 160))})), "map<string,string>")
+
+    def number(code: Column) -> Column:
+        valid = (code < 0xD800) | code.between(0xE000, 0x10FFFF)
+        return F.coalesce(F.try_element_at(numbers, code.cast("string")), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.lit("\ufffd"))
+
+    def sign(reference: Column) -> Column:
+        digits = F.regexp_replace(reference, "^#[xX]?0*|;$", "")
+        code = F.when(F.length(digits) > 7, F.lit(1 << 24)).otherwise(F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("int"))
+        decimal = F.when(F.length(digits) > 7, F.lit(1 << 24)).otherwise(F.concat(F.lit("0"), digits).cast("int"))
+        return F.when(reference.startswith("#"), _bind(F.when(reference.rlike("^#[xX]"), code).otherwise(decimal), number)).when(reference != "", F.try_element_at(names, reference))
+
+    def decoded(x: Column) -> Column:
+        reference = F.regexp_extract(x, r"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9=;]))", 1)
+        return _bind(reference, lambda r: F.coalesce(F.concat(sign(r), F.substring(x, F.length(r) + 1, F.length(x))), F.concat(F.lit("&"), x)))
+
+    def whole(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+
+    return F.when(value.contains("&"), _bind(F.split(value, "&"), whole)).otherwise(value)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its . and .. segments."""
+    stack = lambda s, x: F.when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).when(x == ".", s).otherwise(F.concat(s, F.array(x)))
+
+    def kept(parts: Column) -> Column:
+        last = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), stack), last), "/"))
+
+    return _bind(F.split(path, "/"), kept)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The URL that a target names on a page; null where it has another scheme or is relative and the page has no host."""
+
+    def relative(w: Column) -> Column:
+        own, tail, path = w["own"], w["tail"], w["path"]
+        merged = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(path == "", "/").otherwise(F.regexp_extract(path, "^.*/", 0)), own))
+        place = F.when(own != "", F.concat(_without_dots(merged), tail)).when(tail.startswith("?"), F.concat(path, tail)).otherwise(F.concat(path, w["query"]))
+        return F.when(w["host"] != "", F.concat(F.lit("http://"), w["host"], place))
+
+    def named(w: Column) -> Column:
+        t, b = w["target"], w["base"]
+        pieces = F.struct(F.regexp_extract(t, "^[^?#]*", 0).alias("own"), F.regexp_extract(t, "[?#].*", 0).alias("tail"), host_of(b).alias("host"), path_of(b).alias("path"), F.regexp_extract(_rest(b), r"\?.*", 0).alias("query"))
+        absolute = F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(F.lit("http:"), t))
+        return F.coalesce(absolute, F.when(~t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), _bind(pieces, relative)))
+
+    return _bind(F.struct(target.alias("target"), base.alias("base")), named)
+
+
 def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(from_url, to_url): canonical links and meta refreshes of the pages."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)""", 1)
+    base = F.regexp_extract(html, r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     target = F.explode(F.filter(F.array(link, refresh), lambda x: x != ""))
-    found = pages.where(F.col(url_col).isNotNull() & (html.contains("canonical") | html.contains("refresh") | html.contains("CANONICAL") | html.contains("REFRESH"))).select(F.col(url_col).alias("from_url"), target.alias("to_url"))
-    to = F.when(F.col("to_url").startswith("//"), F.concat(F.lit("http:"), "to_url")).when(F.col("to_url").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("from_url")), "to_url")).otherwise(F.col("to_url"))
-    return found.select("from_url", to.alias("to_url")).where(F.locate("://", "to_url") > 0)
+    found = pages.where(F.col(url_col).isNotNull() & html.rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("from_url"), base.alias("base"), target.alias("to_url"))
+    based = F.when(F.col("base") != "", F.coalesce(resolved(unescape(F.col("base")), F.col("from_url")), F.col("from_url"))).otherwise(F.col("from_url"))
+    # written before and after, so that neither the patterns nor the resolution are repeated in other parts of the plan
+    return cut(cut(found).select("from_url", resolved(unescape(F.col("to_url")), based).alias("to_url"))).where("to_url IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", default: str = "allow") -> DataFrame:

@@ -410,3 +410,20 @@ def test_url_equivalence(spark):
     redirects = spark.createDataFrame([("http://d.org/1", "http://e.org/2"), ("http://e.org/2", "http://f.com/ok")], "from_url string, to_url string")
     more = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string"), urls.rule_table(spark), redirects).collect()}
     assert more[11] == "allow"  # f.com is explicitly allowed
+
+
+def test_links_of_every_spelling(spark):
+    page, blocked = "http://h.org/a/b/page.html?x=1", "http://q.net/es/1"
+    spellings = {
+        '<meta http-equiv="Refresh" content="0; URL=http://q.net/es/1">': blocked, '<LINK REL="Canonical" HREF="http://q.net/es/1">': blocked,
+        '<link rel=canonical href="http://h/p?a=1&amp;b=2">': "http://h/p?a=1&b=2", '<link rel=canonical href="http://h/&#x65;&#101;&eacute;?a&copy=1&lt">': "http://h/eeé?a&copy=1<",
+        '<link rel=canonical href="next.html">': "http://h.org/a/b/next.html", '<link rel=canonical href="?id=2">': "http://h.org/a/b/page.html?id=2", '<link rel=canonical href="../x">': "http://h.org/a/x",
+        '<link rel=canonical href="./../../../y/./z?u=http://b/c">': "http://h.org/y/z?u=http://b/c", '<link rel=canonical href="/r/../s">': "http://h.org/s", '<link rel=canonical href="//g.org/z">': "http://g.org/z",
+        '<link rel=canonical href="#top">': "http://h.org/a/b/page.html?x=1", '<base href="/n/"><link rel=canonical href="m">': "http://h.org/n/m", '<link rel=canonical href="mailto:a@b.c">': None,
+    }
+    rows = [(k, page, html) for k, html in enumerate(spellings)]
+    found = urls.page_links(spark.createDataFrame(rows, "page_id int, url string, html string").coalesce(1), "url", "html").collect()
+    assert [r.to_url for r in found] == [x for x in spellings.values() if x]
+    pages = [(1, "http://a.org/d/1", '<meta http-equiv="Refresh" content="0; url=../e?a=1&amp;b=2">'), (2, "http://a.org/e?a=1&b=2", '<link rel="Canonical" href="http://q.net/es/1">'), (3, blocked, "")]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id int, url string, html string"), urls.rule_table(spark)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block"}
