@@ -1,21 +1,24 @@
 r"""Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-A line goes if an equal line, or one within one edit (and at least 0.8 similar: one edit in five characters or more), comes earlier in the corpus.
-Earlier means in a lower document id, for different lines of one document the lower hash; equal lines in one document: the first stays. So the
-first line of every class stays, all others go; documents keep their row even where no line is left.
+A line goes if an equal line, or one within one edit (and at least 0.8 similar, so the longer has five signs or more), comes earlier in the corpus. The signs that
+an edit inserts, deletes or replaces are the line's words (cut at single spaces), so a changed date, counter or name is one edit; lines of four words or fewer are
+compared by their characters. Earlier means in a lower document id, for different lines of one document the lower hash; equal lines in one document: the first
+stays. So the first line of every class stays, all others go; documents keep their row even where no line is left.
 
-Candidates: a line of length l is cut into threshold + 1 = 2 segments, at the middle of l, and also where a line one shorter would be cut; two lines within one
-edit share the prefix or the suffix that the cut of the shorter one gives, at the same place from the left or the right. The index is by hash
-of (length of the shorter, side, segment), so only lines of fitting length meet. Lines are grouped with their four segment hashes once, before anything is
-exchanged; texts never are, but for lines that are in a candidate pair. Those are found by a bitmap of fixed size (2^20 words, broadcast
-whatever the corpus's size; where it fills up more texts move, with equal results).
+One pass over the text makes a light table: each line's place, its hash in 128 bits and the hashes of its segments. A line of n signs is cut into
+threshold + 1 = 2 segments, at the middle of n, and also where a line one shorter would be cut; two lines within one edit share the first or the last segment
+of the shorter one's cut, at the same place from that side. A segment's hash takes in side and length of the shorter line, so only lines of fitting
+length meet. Texts are read again only for lines of candidate pairs, found in their documents by bitmaps of fixed size (2^20 words, broadcast whatever
+the corpus's size; where they fill up more texts move, with equal results).
 
-Groups of more than GROUP lines that share a segment aren't paired: their lines are joined by deletion instead. Each gives one hash for each character left
-out; lines of one length that agree in (place, rest) are within one edit of each other, and a line equal to another's rest is within one edit of
-it, so the least of each side decides, without pairs. This is exact and linear in the group's size.
+Lines that share a segment with more than GROUP - 1 others are split by further segments: what a line holds beside the shared segment is cut in the same way, and
+only lines that share a segment of that as well meet, and so on until two signs are left. What differs in at most one sign then is within one edit of the
+first of its group, without pairs. Each step halves what isn't shared, so there are as many as the logarithm of a line's signs, each linear in the group.
 
 Pairs are verified by a banded bit-parallel edit distance: the band of 2 * threshold + 1 cells around the diagonal is one integer a column, and a fold over
-the signs of one line takes all cells of a column in a few bit operations. The half that a pair shares is left out first.
+the signs of one line takes all cells of a column in a few bit operations.
+
+A line that holds more than a thousandth of all lines joins its places by broadcast (a thousand such lines at most); no other can weigh on a task.
 
 Defined results: null text counts as empty and stays null; blank lines (white space only) always stay and have no links; null ids come last; rows with equal id and
 text share their result, so rows repeated with one id keep equal lines; an empty table gives no rows; extra columns are returned as they are."""
@@ -29,24 +32,14 @@ from pyspark.sql import functions as F
 
 from strataweave.llm.common import cut, table
 
-GROUP = 64
+#: Lines that share a segment and are paired as they are; more are split by further segments.
+GROUP = 32
 EDITS = 1
-LEAST_SIMILARITY = 0.8
+#: Signs of the longer line of a pair: with fewer, one edit leaves less than 0.8 of it.
+LEAST = 5
 WORDS = 1 << 20
 _LAST = (1 << 63) - 1
-
-
-def _near_from() -> int:
-    """The least length of the longer line of a pair."""
-    return round(EDITS / (1 - LEAST_SIMILARITY))
-
-
-def _segments(line: Column, length: Column, grid: Column, side: str) -> Column:
-    """Hash of the segment on one side of the middle of a grid of the given length."""
-    middle = F.floor(grid / 2).cast("int")
-    if side == "left":
-        return F.xxhash64(F.lit(1), grid, F.substring(line, F.lit(1), middle))
-    return F.xxhash64(F.lit(2), grid, F.substring(line, length - (grid - middle) + 1, length))
+_MADE = ("n_lines", "n_exact", "n_near", "dup_of", "n_links", "class_id")
 
 
 def _bind(value: Column, body) -> Column:
@@ -55,19 +48,18 @@ def _bind(value: Column, body) -> Column:
 
 
 def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
-    """The edit distance of two strings where it is at most `most` (14 or less), else -1; null where either is null or has no more than `most` signs.
+    """The edit distance of two arrays where it is at most `most` (14 or less), else -1; null where either is null or has no more than `most` elements.
 
     Columns of the matrix are taken one after the other. Of each, only the cells within `most` of the diagonal count; the vertical differences of these
     are kept as two bit masks (vp: +1, vn: -1), and the score is followed down the lowest diagonal and then along the last row."""
     width = 2 * most + 1
     mask = F.lit((1 << width) - 1)
-    # four bytes a sign, with signs that equal none before the first
-    whole = F.struct(F.concat(F.lit(b"\xff" * (4 * most)), F.encode(a, "UTF-32")).alias("rows"), F.encode(b, "UTF-32").alias("text"), F.length(a).alias("m"), F.length(b).alias("n"))
+    whole = F.struct(a.alias("rows"), b.alias("text"), F.size(a).alias("m"), F.size(b).alias("n"))
 
     def run(w: Column) -> Column:
         def step(s: Column, j: Column) -> Column:
-            sign = F.substring(w["text"], 4 * j - 3, F.lit(4))
-            same = [F.when(F.substring(w["rows"], 4 * (j + i) - 3, F.lit(4)) == sign, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(width)]
+            sign = F.get(w["text"], j - 1)
+            same = [F.when(F.get(w["rows"], j + (i - most - 1)) == sign, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(width)]
             return _bind(reduce(Column.bitwiseOR, same), lambda eq: _bind((eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(eq).bitwiseOR(s["vn"]).bitwiseAND(mask), lambda d0: after(s, j, d0)))
 
         def after(s: Column, j: Column, d0: Column) -> Column:
@@ -81,127 +73,192 @@ def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
         start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).alias("vp"), F.lit(0).alias("vn"), F.lit(most).alias("score"))
         return F.aggregate(F.sequence(F.lit(1), w["n"]), start, step, lambda s: s["score"])
 
-    m, n = F.length(a), F.length(b)
+    m, n = F.size(a), F.size(b)
     near = F.when((m > most) & (n > most), F.abs(m - n) <= most)
     return F.when(near, _bind(_bind(whole, run), lambda score: F.when(score <= most, score).otherwise(F.lit(-1)))).when(~near, F.lit(-1))
 
 
-def _unshared(a: Column, b: Column) -> tuple[Column, Column]:
-    """Both without the half that they share on the left or on the right, but for a few signs; the edit distance stays the same."""
-    m, n = F.length(a), F.length(b)
-    half = F.greatest(F.floor(F.least(m, n) / 2).cast("int") - EDITS - 1, F.lit(0))
-    left = F.substring(a, F.lit(1), half) == F.substring(b, F.lit(1), half)
-    right = F.substring(a, m - half + 1, half) == F.substring(b, n - half + 1, half)
-    return tuple(F.when(left, F.substring(x, half + 1, k)).when(right, F.substring(x, F.lit(1), k - half)).otherwise(x) for x, k in ((a, m), (b, n)))
+def _signs(signs: Column) -> Column:
+    """How many signs a string of signs with single spaces between them has (empty: one, empty)."""
+    return F.octet_length(signs) - F.octet_length(F.replace(signs, F.lit(" "), F.lit(""))) + 1
+
+
+def _characters(line: Column) -> Column:
+    """A line's characters with spaces between them; a space of its own is another character."""
+    return F.rtrim(F.regexp_replace(F.translate(line, " ", "\x01"), "(?s)(.)", "$1 "))
+
+
+def _slots(signs: Column, n: Column, group: Column, least: int) -> list[tuple[Column, int, Column, Column]]:
+    """(key, own, rest, signs of the rest) for both sides of the cuts of a line of n signs and of one shorter (of `least` signs or more); null keys where there is no such cut."""
+    out = []
+    for grid, own in ((n, 1), (n - 1, 0)):
+        left = F.floor(grid / 2).cast("int")
+        for side, size in ((1, left), (2, grid - left)):
+            sign = 1 if side == 1 else -1
+            segment, rest = (F.call_function("substring_index", signs, F.lit(" "), k) for k in (sign * size, -sign * (n - size)))
+            out.append((F.when(grid >= least, F.xxhash64(F.lit(side), group, grid, segment)), own, rest, n - size))
+    return out
+
+
+#: The light table's segment columns: k words, c characters; the line's own cuts, then those of a line one shorter.
+_KEYS = [(f"{kind}{side}", own) for kind in "kc" for side, own in (("a", 1), ("b", 1), ("x", 0), ("y", 0))]
+
+
+def _line_slots(line: Column) -> list[tuple[Column, int, Column, Column]]:
+    """The slots of a line by words, then by characters, in the order of _KEYS."""
+    n, out = _signs(line), []
+    for kind, signs, size, here in ((1, line, n, n >= LEAST - 1), (2, _characters(line), F.length(line), n < LEAST)):
+        out += [(F.when(here, key), own, rest, left) for key, own, rest, left in _slots(signs, size, F.lit(kind).cast("long"), LEAST - 1)]
+    return out
 
 
-def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, r, no, line, k1, k2, length): the lines that aren't blank. (id, r) names the row by what it holds; (k1, k2) the line."""
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, r, text): r names a row by what it holds."""
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    each = base.select(F.coalesce("id", F.lit(_LAST)).alias("id"), F.xxhash64("id", "text").alias("r"), F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim(F.translate("line", "\t\r\f\x0b", "    ")) != "")
-    return each.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line"), "length": F.length("line")})
+    return base.select(F.coalesce("id", F.lit(_LAST)).alias("id"), F.xxhash64("id", "text").alias("r"), "text")
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row a distinct line: its hashes, first document, number of occurrences and segment hashes (null where too short)."""
-    line, length = F.col("line"), F.col("length")
-    own, less = F.col("length"), F.col("length") - 1
-    near = _near_from()
-    keys = {
-        "a1": F.when(length >= near - 1, _segments(line, length, own, "left")),
-        "a2": F.when(length >= near - 1, _segments(line, length, own, "right")),
-        "b1": F.when(length >= near, _segments(line, length, less, "left")),
-        "b2": F.when(length >= near, _segments(line, length, less, "right")),
-    }
-    hashed = lines.select("k1", "k2", "length", "id", *(v.alias(k) for k, v in keys.items()))
-    return hashed.groupBy("k1", "k2", "length", *keys).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+def lines_of(rows: DataFrame) -> DataFrame:
+    """(id, r, no, line): the lines that aren't blank."""
+    return rows.select("id", "r", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length(F.trim("line", F.lit(" \t\r\f\x0b"))) > 0)
 
 
-def _bitmap(ids: DataFrame) -> DataFrame:
-    word, bit = F.pmod("k1", F.lit(WORDS)).cast("int"), F.shiftrightunsigned("k1", 20).bitwiseAND(F.lit(63)).cast("int")
-    return ids.withColumns({"word": word, "bit": bit}).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+def light_lines(rows: DataFrame) -> DataFrame:
+    """(id, r, no, k1, k2, segment hashes): all lines without their text. (k1, k2) names a line."""
+    line = F.col("line")
+    keys = [key.alias(name) for (name, _), (key, *_) in zip(_KEYS, _line_slots(line))]
+    return lines_of(rows).select("id", "r", "no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), *keys)
 
 
-def _marked(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """The lines whose hash may be in the bitmap (WORDS rows at most, hence broadcast)."""
-    with_word = lines.withColumn("word", F.pmod("k1", F.lit(WORDS)).cast("int")).join(F.broadcast(bitmap), "word")
-    return with_word.where("(shiftrightunsigned(mask, cast(shiftrightunsigned(k1, 20) & 63 AS int)) & 1) = 1").drop("word", "mask")
+def distinct_lines(light: DataFrame) -> DataFrame:
+    """One row a distinct line: its hashes, first place, number of occurrences and segment hashes."""
+    return light.groupBy("k1", "k2").agg(F.min(F.struct("id", "r", "no")).alias("at"), F.count("*").alias("n"), *(F.min(name).alias(name) for name, _ in _KEYS)).select("*", F.col("at.id").alias("first"))
 
 
-def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def _bitmap(df: DataFrame, *cols: str) -> DataFrame:
+    h = F.xxhash64(*cols)
+    word, bit = F.pmod(h, F.lit(WORDS)).cast("int"), F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int")
+    return df.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+
+
+def _marked(df: DataFrame, bitmap: DataFrame, *cols: str) -> DataFrame:
+    """The rows whose hash may be in the bitmap (WORDS rows at most, hence broadcast)."""
+    h = F.xxhash64(*cols)
+    found = df.withColumns({"word": F.pmod(h, F.lit(WORDS)).cast("int"), "bit": F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int")}).join(F.broadcast(bitmap), "word")
+    return found.where("(shiftrightunsigned(mask, bit) & 1) = 1").drop("word", "bit", "mask")
+
+
+def _meet(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, own, k1): the pairs of lines that share a key, one of them by its own cut, from groups of GROUP lines at most; the keys (key, c) of larger ones.
+
+    Groups of two and three are told by their least, greatest and the exclusive or of all, so most rows aren't joined."""
+    groups = keyed.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("own"), F.min("k1").alias("x"), F.max("k1").alias("y"), F.bit_xor("k1").alias("z"))
+    groups = cut(groups.where("c > 1 AND own = 1"), gathered=True)
+    middle = "z ^ x ^ y"
+    few = groups.where("c <= 3").select(F.inline(F.expr(f"CASE WHEN c = 2 THEN array(struct(x, y)) ELSE array(struct(x, y), struct(x, {middle} AS y), struct({middle} AS x, y)) END")))
+    some = groups.where(f"c BETWEEN 4 AND {GROUP}").select("key")
+    members = cut(_marked(keyed, _bitmap(some, "key"), "key").join(some, "key"), gathered=True)
+    paired = members.alias("s").join(members.alias("t"), "key").where("s.k1 < t.k1 AND (s.own = 1 OR t.own = 1)").select(F.col("s.k1").alias("x"), F.col("t.k1").alias("y"))
+    return few.unionByName(paired), groups.where(f"c > {GROUP}").select("key")
+
+
+def _split_further(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (grp, k1, first, size, rest, n), lines that share a segment and what each holds beside it: pairs to verify, and (k1, near) decided without.
+
+    The loop ends when no group is larger than GROUP or no line has more than two signs left; the driver sees one bit a step."""
+    items = cut(items, gathered=True)
+    pairs, near = [items.where("false").select(F.col("k1").alias("x"), F.col("k1").alias("y"))], [items.where("false").select("k1", F.col("first").alias("near"))]
+    while not items.isEmpty():
+        # one sign or none left: all within one edit of each other; lines of LEAST - 1 signs only with longer ones
+        end = items.where("n <= 1")
+        place = F.struct("first", "k1")
+        least = end.groupBy("grp").agg(F.min(place).alias("all"), F.min(F.when(F.col("size") >= LEAST, place)).alias("longer"))
+        least_of = end.join(least, "grp").withColumn("least", F.when(F.col("size") >= LEAST, F.col("all")).otherwise(F.col("longer")))
+        near.append(least_of.where(F.col("least") < place).select("k1", F.col("least.first").alias("near")))
+        # one left against two: the one is among the two
+        words = items.where("n = 2").select("grp", F.explode(F.array_distinct(F.split("rest", " "))).alias("rest"), F.col("k1").alias("y"))
+        pairs.append(end.where("n = 1").select("grp", "rest", F.col("k1").alias("x")).join(words, ["grp", "rest"]).select("x", "y"))
+        slots = [F.struct(key.alias("key"), F.lit(own).alias("own"), rest.alias("left_over"), left.alias("m")) for key, own, rest, left in _slots(F.col("rest"), F.col("n"), F.col("grp"), 2)]
+        each = cut(items.where("n >= 2").select("k1", "first", "size", F.inline(F.array(*slots))).where("key IS NOT NULL"), gathered=True)
+        found, hot = _meet(each.select("key", "own", "k1"))
+        pairs.append(found)
+        items = cut(each.join(hot, "key").select(F.col("key").alias("grp"), "k1", "first", "size", F.col("left_over").alias("rest"), F.col("m").alias("n")), gathered=True)
+    return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, near)
+
+
+def _texts(rows: DataFrame, distinct: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k1, first, line) of the wanted lines (k1), from their first places."""
+    places = cut(_marked(distinct.select("k1", "at", "first"), _bitmap(wanted, "k1"), "k1").join(wanted.distinct(), "k1").select("k1", "first", "at.id", "at.r", "at.no"), gathered=True)
+    lines = lines_of(_marked(rows, _bitmap(places, "r"), "r"))
+    found = _marked(lines, _bitmap(places, "r", "no"), "r", "no").join(places, ["id", "r", "no"]).select("k1", "first", "line")
+    return cut(found.dropDuplicates(["k1"]), gathered=True)
+
+
+def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """(k1, near): lines within one edit of an earlier one, and the least first document of those."""
-    keyed = distinct.select("k1", F.explode(F.array("a1", "a2", "b1", "b2")).alias("key")).where("key IS NOT NULL")
-    groups = cut(keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("k1").alias("x"), F.max("k1").alias("y")).where("c > 1 AND x <> y"), gathered=True)
-    members = cut(keyed.join(groups.where("c > 2").select("key", "c"), "key"), gathered=True)
-    some = members.where(f"c <= {GROUP}")
-    paired = some.alias("s").join(some.alias("t"), "key").where("s.k1 < t.k1").select(F.col("s.k1").alias("x"), F.col("t.k1").alias("y"))
-    pairs = cut(groups.where("c = 2").select("x", "y").unionByName(paired).distinct(), gathered=True)
-    hot = members.where(f"c > {GROUP}").select("k1").distinct()
-    wanted = pairs.select(F.col("x").alias("k1")).unionByName(pairs.select(F.col("y").alias("k1"))).unionByName(hot)
-    texts = _marked(lines, _bitmap(wanted)).groupBy("k1", "k2").agg(F.first("line").alias("line"), F.min("id").alias("first"))
-    texts = cut(texts.join(wanted.distinct(), "k1", "left_semi"), gathered=True)
+    keyed = distinct.select("k1", F.inline(F.array(*(F.struct(F.col(name).alias("key"), F.lit(own).alias("own")) for name, own in _KEYS)))).where("key IS NOT NULL")
+    found, hot = _meet(keyed)
+    crowded = cut(_marked(keyed, _bitmap(hot, "key"), "key").join(hot, "key").select("k1", "key"), gathered=True)
+    pairs = cut(found.distinct(), gathered=True)
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("k1"))
+    texts = _texts(rows, distinct, ends.unionByName(crowded.select("k1")))
+    decided = None
+    if not crowded.isEmpty():
+        kinds = [_signs(F.col("line"))] * (len(_KEYS) // 2) + [F.length("line")] * (len(_KEYS) // 2)
+        slots = [F.struct(key.alias("key"), size.alias("size"), rest.alias("rest"), left.alias("n")) for (key, _, rest, left), size in zip(_line_slots(F.col("line")), kinds)]
+        items = texts.join(crowded.select("k1").distinct(), "k1").select("k1", "first", F.inline(F.array(*slots))).join(crowded, ["key", "k1"]).withColumnRenamed("key", "grp")
+        further, decided = _split_further(items)
+        pairs = cut(pairs.unionByName(further).distinct(), gathered=True)
     a, b = (texts.select(F.col("k1").alias(k), F.col("line").alias(f"{k}_line"), F.col("first").alias(f"{k}_first")) for k in ("x", "y"))
-    close = banded_distance(*_unshared(F.col("x_line"), F.col("y_line")))
-    verified = pairs.join(a, "x").join(b, "y").where((close >= 0) & (1 - close / F.greatest(F.length("x_line"), F.length("y_line")) >= LEAST_SIMILARITY))
+    words = [_signs(F.col(f"{k}_line")) for k in "xy"]
+    both = pairs.join(a, "x").join(b, "y")
+    for by_word, here, signs in ((True, F.greatest(*words) >= LEAST, lambda c: c), (False, F.greatest(*words) < LEAST, _characters)):
+        x, y = (F.when(here, F.split(signs(F.col(f"{k}_line")), " ")) for k in "xy")
+        close = (banded_distance(x, y) >= 0) & (F.greatest(F.size(x), F.size(y)) >= LEAST)
+        both = both.withColumn("by_word" if by_word else "by_sign", close)
     x_first = F.struct("x_first", "x") < F.struct("y_first", "y")
-    later = verified.select(F.when(x_first, F.col("y")).otherwise(F.col("x")).alias("k1"), F.when(x_first, F.col("x_first")).otherwise(F.col("y_first")).alias("near"))
-    return later.unionByName(_hot_lines(texts.join(hot, "k1", "left_semi"))).groupBy("k1").agg(F.min("near").alias("near"))
-
-
-def _hot_lines(texts: DataFrame) -> DataFrame:
-    """(k1, near) among lines of large groups: by what is left when one character is left out."""
-    near, place = _near_from(), F.col("place")
-    rest = F.concat(F.substring("line", F.lit(1), place - 1), F.substring("line", place + 1, F.length("line")))
-    out = texts.where(F.length("line") >= near).select("k1", "first", "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("place")).select("k1", "first", "place", F.xxhash64(rest).alias("rest"), F.length("line").alias("length"))
-    out = cut(out, gathered=True)
-    # one length, one place: all within one edit of each other
-    keys = ["length", "place", "rest"]
-    least = out.groupBy(*keys).agg(F.count("*").alias("c"), F.min("first").alias("f")).where("c > 1").drop("c")
-    firsts = out.join(least, keys)
-    same = firsts.where("first > f").select("k1", F.col("f").alias("near"))
-    tied = firsts.where("first = f").groupBy(*keys).agg(F.min("k1").alias("k"), F.count("*").alias("c")).where("c > 1").drop("c")
-    same = same.unionByName(firsts.where("first = f").join(tied, keys).where("k1 > k").select("k1", F.col("f").alias("near")))
-    # a line that is the rest of one longer by one; lines as short as four have no rests of their own but are rests
-    whole = texts.where(F.length("line") >= near - 1).select(F.col("k1").alias("s"), F.col("first").alias("s_first"), F.xxhash64("line").alias("rest"))
-    longer = out.select("k1", "first", "rest").distinct().join(whole, "rest")
-    s_first = F.struct("s_first", "s") < F.struct("first", "k1")
-    shorter = longer.select(F.when(s_first, F.col("k1")).otherwise(F.col("s")).alias("k1"), F.when(s_first, F.col("s_first")).otherwise(F.col("first")).alias("near"))
-    return same.unionByName(shorter)
+    later = both.where("by_word OR by_sign").select(F.when(x_first, F.col("y")).otherwise(F.col("x")).alias("k1"), F.when(x_first, F.col("x_first")).otherwise(F.col("y_first")).alias("near"))
+    return (later if decided is None else later.unionByName(decided)).groupBy("k1").agg(F.min("near").alias("near"))
 
 
 def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, r, gone, n_exact, n_near, dup_of) of every row that loses lines: their places, how many for which reason, and the documents that keep them."""
-    lines = lines_of(df, id_col, text_col)
-    distinct = cut(distinct_lines(lines), gathered=True)
-    near = cut(near_lines(lines, distinct), gathered=True)
-    judged = distinct.select("k1", "k2", "first", "n").join(near, "k1", "left").where("n > 1 OR near IS NOT NULL").drop("n")
-    found = lines.select("id", "r", "no", "k1", "k2").join(judged, ["k1", "k2"])
-    found = found.repartition("id", "r").dropDuplicates(["id", "r", "no"])
+    """(id, r, gone, n_exact, n_near, dup_of) of every row that loses lines: their places, how many have an equal or a near earlier line (both count), and the documents that keep them."""
+    rows = _rows(df, id_col, text_col)
+    light = cut(light_lines(rows))
+    distinct = cut(distinct_lines(light), gathered=True)
+    near = near_lines(rows, distinct)
+    judged = cut(distinct.select("k1", "k2", "first", "n").join(near, "k1", "left").where("n > 1 OR near IS NOT NULL"), gathered=True)
+    heavy = F.lit((distinct.agg(F.sum("n")).first()[0] or 0) // 1000)
+    places = light.select("id", "r", "no", "k1", "k2")
+    few = F.broadcast(judged.where(F.col("n") > heavy))  # a thousand rows at most
+    rest = places.join(few.select("k1", "k2"), ["k1", "k2"], "left_anti").join(judged.where(F.col("n") <= heavy), ["k1", "k2"])
+    found = places.join(few, ["k1", "k2"]).unionByName(rest).drop("n").repartition("id", "r").dropDuplicates(["id", "r", "no"])
     again = F.row_number().over(Window.partitionBy("id", "r", "k1", "k2").orderBy("no")) > 1
-    why = F.when(F.col("near").isNotNull(), "near").when((F.col("id") > F.col("first")) | F.col("again"), "exact")
-    each = found.withColumn("again", again).withColumn("why", why).where("why IS NOT NULL")
-    keeper = F.when(F.col("why") == "near", F.col("near")).otherwise(F.col("first"))
-    return each.groupBy("id", "r").agg(
-        F.collect_list("no").alias("gone"), F.count_if(F.col("why") == "exact").alias("n_exact"), F.count_if(F.col("why") == "near").alias("n_near"), F.array_sort(F.collect_set(keeper)).alias("dup_of")
-    )
+    each = found.withColumn("equal", again | (F.col("id") > F.col("first"))).where("equal OR near IS NOT NULL")
+    keepers = F.array_compact(F.flatten(F.collect_set(F.array(F.when(F.col("equal"), F.col("first")), F.col("near")))))
+    return each.groupBy("id", "r").agg(F.collect_list("no").alias("gone"), F.count_if("equal").alias("n_exact"), F.count("near").alias("n_near"), F.array_sort(F.array_distinct(keepers)).alias("dup_of"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the text of the lines that stay, and columns n_lines, n_exact, n_near, dup_of (the documents that keep its lost lines)."""
+    """df with the text of the lines that stay, and columns n_lines, n_exact, n_near, dup_of (the documents that keep its lost lines), n_links (how many those are)
+    and class_id (the least of those and the document itself)."""
     gone = drops(df, id_col, text_col).withColumnsRenamed({c: f"_{c}" for c in ("id", "r", "gone", "n_exact", "n_near", "dup_of")})
     own = df.withColumns({"_own": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_row": F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))})
     both = own.join(gone, (F.col("_own") == F.col("_id")) & (F.col("_row") == F.col("_r")), "left")
-    lines = F.split(text_col, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
-    others = [F.col(f"`{c}`") for c in df.columns if c not in (text_col, "n_lines", "n_exact", "n_near", "dup_of")]
+    text = F.col(text_col)
+    left = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), "_gone")
+    kept = F.when(F.col("_gone").isNull(), text).otherwise(_bind(F.split(text, "\n"), lambda lines: F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")))
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (text_col, *_MADE)]
+    none = F.array().cast("array<bigint>")
     return both.select(
         *others,
         kept.alias(text_col),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
         F.coalesce("_n_exact", F.lit(0)).cast("long").alias("n_exact"),
         F.coalesce("_n_near", F.lit(0)).cast("long").alias("n_near"),
-        F.coalesce("_dup_of", F.array().cast("array<bigint>")).alias("dup_of"),
+        F.coalesce("_dup_of", none).alias("dup_of"),
+        F.size(F.coalesce("_dup_of", none)).cast("long").alias("n_links"),
+        F.least(F.col(id_col).cast("long"), F.get("_dup_of", F.lit(0))).alias("class_id"),
     )
 
 
