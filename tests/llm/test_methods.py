@@ -3,8 +3,10 @@
 import hashlib
 import html
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -144,24 +146,87 @@ def test_furniture_goes():
     page = """<html><head><title>x</title></head><body class="has-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">We use</div><main><article><h1>T &amp; U</h1>
     <p>One <b>two</b>three<br>four<p>five<div class="ad">buy</div><div>Share this</div><aside>rel</aside><form>f<input></form><section class="comments"><article>c</article></section>
     <ul><li>x<li>y</ul></article></main><footer>f</footer><script>var a = "<p>no</p>"</script></body>"""
-    assert [t for t, _ in html_text.blocks(page)[0]] == ["T & U", "One twothree four", "five", "Share this", "x", "y"]
-    assert html_text.blocks("<div>a</div><!-- <p>b</p> --><p>c &lt; d")[0] == [("a", True), ("c < d", False)]
+    assert [t for t, _, kept in html_text.blocks(page)[0] if kept] == ["T & U", "One twothree four", "five", "Share this", "x", "y"]
+    assert html_text.blocks("<div>a</div><!-- <p>b</p> --><p>c &lt; d")[0] == [("a", True, True), ("c < d", True, True)]
+    assert html_text.blocks("<nav>m</nav><article>l<p>a</article>b")[0] == [("m", True, False), ("l", True, True), ("a", False, True), ("b", True, False)]
 
 
 def test_text_after_the_last_tag_stays():
-    texts = lambda page: [t for t, _ in html_text.blocks(page)[0]]
+    texts = lambda page: [t for t, _, kept in html_text.blocks(page)[0] if kept]
     assert texts("a < b and more") == ["a < b and more"] and texts("<p>x < 5 and y <3 or so") == ["x < 5 and y <3 or so"]
     assert texts("<p>one<a href='x") == ["one"] and texts("<p>one</p") == ["one"] and texts("a < b <!-- c") == ["a < b"]
 
 
 def test_dropped_elements_end_where_their_end_tag_is_left_out():
-    texts = lambda page: [t for t, _ in html_text.blocks(page)[0]]
+    texts = lambda page: [t for t, _, kept in html_text.blocks(page)[0] if kept]
     assert texts('<table><tr><td class="menu">m<table><tr><td>n<td>o</table><td>article<tr class="ad"><td>x<tr><td>y</table><p>z') == ["article", "y", "z"]
     assert texts('<ul><li class="share">s<ul><li>t</ul><li>u</ul><p>article') == ["u", "article"] and texts('<ul><li class="share">s</ul><p>article') == ["article"]
     assert texts('<dl><dt>a<dd class="ad">b<dt>c</dl>') == ["a", "c"] and texts('<div><ul><li class="share">s</div>article') == ["article"]
     assert texts('<div><p class="ad">b<p>c</div>') == ["c"] and texts('<ul><li class="share">s</li>t<li>u</ul>') == ["t", "u"]
 
 
+def test_odd_tags():
+    texts = lambda page: [t for t, _, kept in html_text.blocks(page)[0] if kept]
+    assert texts("<p>x</p>tail 3 < 5 more") == ["x", "tail 3 < 5 more"] and texts("<p title=it's>Hello</p> it's") == ["Hello", "it's"]
+    assert texts("a <button> b<p>c") == ["a b", "c"] and texts("a<object>b") == ["a b"] and texts("<p title='a>b' x=\"c>d\" y=>t</p>") == ["t"]
+    assert texts("a<!b>c</>d<?e>f") == ["acdf"] and texts("a<textarea>b</textarea >c") == ["a c"] and texts("<script>x") == []
+
+
+@pytest.mark.parametrize("page", ["<a ", "<svg>", "<!-- ", "</ ", '<a b="', "<a =' ", "<button>", "<p", "&", "<div>"])
+def test_long_pages_take_time_in_proportion(page):
+    began = time.perf_counter()
+    html_text.blocks(page * (1_000_000 // len(page)))
+    assert time.perf_counter() - began < 5
+    rows = [k % 3 for k in range(4000)]
+    assert len(html_text.common_lines([1] * 4000, [1] * 4001)) == 4000 and len(html_text.common_lines(rows, rows[1:] + [7])) == 3999
+    assert time.perf_counter() - began < 6
+
+
+def test_halved_alignment(monkeypatch):
+    monkeypatch.setattr(html_text, "LCS_BITS", 8)
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(15))] for _ in range(2))
+        found = [a[k] for k in html_text.common_lines(a, b)]
+        rest = iter(b)
+        assert all(x in rest for x in found) and len(found) == int(html_text._lengths(a, b)[-1])
+
+
+def _pages_brute(rows):
+    """The texts of pages without a declared article and with one line a paragraph: lines shared with the nearest page of other lines go."""
+    lines = {i: re.findall("<p>(.*?)</p>", page) for i, _, page in rows}
+    split = {i: re.match("http://([^/]*)(.*)", url).groups() for i, url, _ in rows}
+    paths = {}
+    for i, (host, path) in split.items():
+        key = (host, tuple(lines[i]))
+        paths[key] = min(path, paths.get(key, path))
+    out = {}
+    for i, (host, _) in split.items():
+        own = (host, tuple(lines[i]))
+        order = sorted((path, k[1]) for k, path in paths.items() if k[0] == host)
+        at = order.index((paths[own], own[1]))
+        sides = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order)]
+        alike = lambda p: len(os.path.commonprefix([p[0], paths[own]]))
+        gone = html_text.common_lines(lines[i], list(max(sides, key=alike)[1])) if sides else []
+        out[i] = " ".join(x for k, x in enumerate(lines[i]) if k not in gone)
+    return out
+
+
+def test_pages_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        host = rng.choice(["a.org", "a.org", "b.net", f"h{i}.com"])
+        page = "".join(f"<p>{rng.choice(['Home', 'News', 'About us'])}</p>" for _ in range(rng.randrange(3))) + "".join(f"<p>text {rng.randrange(40)}</p>" for _ in range(rng.randrange(5)))
+        rows.append((i, f"http://{host}/{rng.choice('xyz')}/{i}", page))
+        if rng.random() < 0.3:
+            rows.append((1000 + i, f"http://{host}/{rng.choice('xyz')}/{i}c", page))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(frame.repartition(5)).collect()} == _pages_brute(rows)
+    totals = html_text.deletions(frame).first()
+    assert totals.n_shared == totals.n_deleted == totals.n_only > 50
+
+
 def test_differencing_of_neighbours(spark):
     page = "<body><div>Menu line</div><div>Welcome</div><p>Story {0} one</p><p>Story {0} two</p><div>Bottom</div></body>"
     rows = [(i, f"http://h.com/a/{i:03}", page.format(i)) for i in range(40)] + [(100 + i, "http://copy.com/x", page.format(7)) for i in range(3)] + [(200, "http://alone.com/", page.format(8))]
