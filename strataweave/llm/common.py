@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset, one folder of our own (tests, one machine)."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, one folder of our own on one machine (tests), and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="strataweave-"))
     return _OWN_DIR[0]
@@ -39,13 +42,13 @@ def _path(spark: SparkSession, path: str):
 def write_cut(df: DataFrame, gathered: bool = False) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
 
-    gathered: for small rows that come out of a shuffle. They go to fewer files, a sixteenth of the shuffle's partitions but two for each core at least, since
-    every file costs several calls to the file system (and, on a local one, processes), whatever is in it."""
+    gathered: for small rows that come out of a shuffle. They go to fewer files, a sixteenth of the shuffle's partitions but one for each core at least, since
+    every file costs several calls to the file system (and, on a local one, processes), whatever is in it. No file marks the job's success: who reads knows of it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sw-{uuid.uuid4().hex}"
     if gathered:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
-    df.write.parquet(path)
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     p, fs = _path(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
@@ -60,6 +63,15 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """left joined with right, which has one row a key and says in `count` (left out of the result) how many rows of left carry it; total: the rows of left.
+
+    Keys that more than a thousandth of left carries, so a thousand at most, are joined by broadcast where the rows are; no other key can weigh on a task."""
+    few = F.broadcast(right.where(F.col(count) > total // 1000).drop(count))
+    rest = left.join(few.select(*keys), keys, "left_anti").join(right.where(F.col(count) <= total // 1000).drop(count), keys)
+    return left.join(few, keys).unionByName(rest)
+
+
 def text_column(df: DataFrame, name: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
