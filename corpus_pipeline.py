@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.llm import decontaminate, linededup, packing, quality, simhash
-from strataweave.llm.common import cut, table
+from strataweave.llm.common import cut, table, tidy
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,27 +23,32 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below 0.7) go."""
+    tidy(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return _documents(quality.keep_good(docs, model))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that come again, or nearly so, go from all documents but the first."""
+    tidy(spark)
     return _documents(linededup.dedup_lines(docs))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints one document stays."""
+    tidy(spark)
     return _documents(simhash.near_dedup(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
+    tidy(spark)
     return _documents(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences."""
+    tidy(spark)
     return packing.pack(docs)
 
 

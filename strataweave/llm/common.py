@@ -58,6 +58,11 @@ def cut(df: DataFrame, gathered: bool = False) -> DataFrame:
     return write_cut(df, gathered)[0]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark's cleaner then removes the shuffle files and broadcast tables of what has ended, and generated classes go, before a long run takes more."""
+    spark._jvm.System.gc()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)

@@ -39,9 +39,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if row["n"] == 0 or (row["n"], row["s"]) == seen:
             break
         seen = (row["n"], row["s"])
-        current, new = write_cut(_small_star(_large_star(current, row["n"]), row["n"]), gathered=True)
-        if path != kept:
-            discard(spark, path)
+        large, between = write_cut(_large_star(current, row["n"]), gathered=True)  # small plans: each half of a round is written
+        current, new = write_cut(_small_star(large, row["n"]), gathered=True)
+        for old in {path, between} - {kept}:
+            discard(spark, old)
         path = new
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = stars.select(F.col("root").alias("node"), "root").distinct()

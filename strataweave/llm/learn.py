@@ -58,12 +58,15 @@ def collect_rows(df: DataFrame, text_col: str, label: str | None, featurise: Fea
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((rows.features, pa.int32()), (rows.values, pa.float32()))]
             yield pa.RecordBatch.from_arrays([part.column("order"), part.column("label"), *lists], ["order", "label", "features", "values"])
 
-    got = source.mapInArrow(run, "order long, label double, features array<int>, values array<float>").toArrow().combine_chunks().sort_by([("order", "ascending"), ("label", "ascending")])
+    got = source.mapInArrow(run, "order long, label double, features array<int>, values array<float>").toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
     if not got.num_rows:
         return Rows(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(1, np.int64)), np.zeros(0)
     f, v = (got.column(c).combine_chunks() for c in ("features", "values"))
     offsets = f.offsets.to_numpy().astype(np.int64)
-    return Rows(f.flatten().to_numpy().astype(np.int64), v.flatten().to_numpy(), offsets - offsets[0]), got.column("label").to_numpy()
+    rows, labels = Rows(f.flatten().to_numpy().copy(), v.flatten().to_numpy().copy(), offsets - offsets[0]), got.column("label").to_numpy().copy()
+    del got, f, v
+    pa.default_memory_pool().release_unused()
+    return rows, labels
 
 
 def with_score(df: DataFrame, id_col: str, text_col: str, score: Callable[[pa.Array], np.ndarray]) -> DataFrame:

@@ -30,10 +30,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import cut, table
+from strataweave.llm.common import counted_join, cut, table, tidy
 
 #: Lines that share a segment and are paired as they are; more are split by further segments.
-GROUP = 32
+GROUP = 64
 EDITS = 1
 #: Signs of the longer line of a pair: with fewer, one edit leaves less than 0.8 of it.
 LEAST = 5
@@ -157,7 +157,7 @@ def _meet(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     middle = "z ^ x ^ y"
     few = groups.where("c <= 3").select(F.inline(F.expr(f"CASE WHEN c = 2 THEN array(struct(x, y)) ELSE array(struct(x, y), struct(x, {middle} AS y), struct({middle} AS x, y)) END")))
     some = groups.where(f"c BETWEEN 4 AND {GROUP}").select("key")
-    members = cut(_marked(keyed, _bitmap(some, "key"), "key").join(some, "key"), gathered=True)
+    members = _marked(keyed, _bitmap(some, "key"), "key").join(some, "key")
     paired = members.alias("s").join(members.alias("t"), "key").where("s.k1 < t.k1 AND (s.own = 1 OR t.own = 1)").select(F.col("s.k1").alias("x"), F.col("t.k1").alias("y"))
     return few.unionByName(paired), groups.where(f"c > {GROUP}").select("key")
 
@@ -165,25 +165,27 @@ def _meet(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _split_further(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (grp, k1, first, size, rest, n), lines that share a segment and what each holds beside it: pairs to verify, and (k1, near) decided without.
 
-    The loop ends when no group is larger than GROUP or no line has more than two signs left; the driver sees one bit a step."""
+    The loop ends when no group is larger than GROUP or no line has more than two signs left; every step is written before the next one, and the driver sees one bit of it."""
+    out = items.where("false").select(F.col("k1").alias("x"), F.col("k1").alias("y"), F.col("first").alias("near"))
     items = cut(items, gathered=True)
-    pairs, near = [items.where("false").select(F.col("k1").alias("x"), F.col("k1").alias("y"))], [items.where("false").select("k1", F.col("first").alias("near"))]
     while not items.isEmpty():
+        tidy(items.sparkSession)
         # one sign or none left: all within one edit of each other; lines of LEAST - 1 signs only with longer ones
         end = items.where("n <= 1")
         place = F.struct("first", "k1")
         least = end.groupBy("grp").agg(F.min(place).alias("all"), F.min(F.when(F.col("size") >= LEAST, place)).alias("longer"))
         least_of = end.join(least, "grp").withColumn("least", F.when(F.col("size") >= LEAST, F.col("all")).otherwise(F.col("longer")))
-        near.append(least_of.where(F.col("least") < place).select("k1", F.col("least.first").alias("near")))
+        decided = least_of.where(F.col("least") < place).select(F.col("k1").alias("x"), F.lit(None).cast("long").alias("y"), F.col("least.first").alias("near"))
         # one left against two: the one is among the two
         words = items.where("n = 2").select("grp", F.explode(F.array_distinct(F.split("rest", " "))).alias("rest"), F.col("k1").alias("y"))
-        pairs.append(end.where("n = 1").select("grp", "rest", F.col("k1").alias("x")).join(words, ["grp", "rest"]).select("x", "y"))
+        found = end.where("n = 1").select("grp", "rest", F.col("k1").alias("x")).join(words, ["grp", "rest"]).select("x", "y")
         slots = [F.struct(key.alias("key"), F.lit(own).alias("own"), rest.alias("left_over"), left.alias("m")) for key, own, rest, left in _slots(F.col("rest"), F.col("n"), F.col("grp"), 2)]
         each = cut(items.where("n >= 2").select("k1", "first", "size", F.inline(F.array(*slots))).where("key IS NOT NULL"), gathered=True)
-        found, hot = _meet(each.select("key", "own", "k1"))
-        pairs.append(found)
+        more, hot = _meet(each.select("key", "own", "k1"))
+        pairs = found.unionByName(more).distinct().withColumn("near", F.lit(None).cast("long"))
+        out = out.unionByName(cut(decided.unionByName(pairs), gathered=True))
         items = cut(each.join(hot, "key").select(F.col("key").alias("grp"), "k1", "first", "size", F.col("left_over").alias("rest"), F.col("m").alias("n")), gathered=True)
-    return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, near)
+    return out.where("y IS NOT NULL").select("x", "y"), out.where("y IS NULL").select(F.col("x").alias("k1"), "near")
 
 
 def _texts(rows: DataFrame, distinct: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,12 +200,14 @@ def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """(k1, near): lines within one edit of an earlier one, and the least first document of those."""
     keyed = distinct.select("k1", F.inline(F.array(*(F.struct(F.col(name).alias("key"), F.lit(own).alias("own")) for name, own in _KEYS)))).where("key IS NOT NULL")
     found, hot = _meet(keyed)
-    crowded = cut(_marked(keyed, _bitmap(hot, "key"), "key").join(hot, "key").select("k1", "key"), gathered=True)
     pairs = cut(found.distinct(), gathered=True)
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("k1"))
-    texts = _texts(rows, distinct, ends.unionByName(crowded.select("k1")))
-    decided = None
-    if not crowded.isEmpty():
+    tidy(pairs.sparkSession)
+    wanted, decided, crowded = pairs.select(F.explode(F.array("x", "y")).alias("k1")), None, None
+    if not hot.isEmpty():
+        crowded = cut(_marked(keyed, _bitmap(hot, "key"), "key").join(hot, "key").select("k1", "key"), gathered=True)
+        wanted = wanted.unionByName(crowded.select("k1"))
+    texts = _texts(rows, distinct, wanted)
+    if crowded is not None:
         kinds = [_signs(F.col("line"))] * (len(_KEYS) // 2) + [F.length("line")] * (len(_KEYS) // 2)
         slots = [F.struct(key.alias("key"), size.alias("size"), rest.alias("rest"), left.alias("n")) for (key, _, rest, left), size in zip(_line_slots(F.col("line")), kinds)]
         items = texts.join(crowded.select("k1").distinct(), "k1").select("k1", "first", F.inline(F.array(*slots))).join(crowded, ["key", "k1"]).withColumnRenamed("key", "grp")
@@ -227,12 +231,10 @@ def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     light = cut(light_lines(rows))
     distinct = cut(distinct_lines(light), gathered=True)
     near = near_lines(rows, distinct)
+    tidy(df.sparkSession)
     judged = cut(distinct.select("k1", "k2", "first", "n").join(near, "k1", "left").where("n > 1 OR near IS NOT NULL"), gathered=True)
-    heavy = F.lit((distinct.agg(F.sum("n")).first()[0] or 0) // 1000)
-    places = light.select("id", "r", "no", "k1", "k2")
-    few = F.broadcast(judged.where(F.col("n") > heavy))  # a thousand rows at most
-    rest = places.join(few.select("k1", "k2"), ["k1", "k2"], "left_anti").join(judged.where(F.col("n") <= heavy), ["k1", "k2"])
-    found = places.join(few, ["k1", "k2"]).unionByName(rest).drop("n").repartition("id", "r").dropDuplicates(["id", "r", "no"])
+    found = counted_join(light.select("id", "r", "no", "k1", "k2"), judged, ["k1", "k2"], "n", distinct.agg(F.sum("n")).first()[0] or 0)
+    found = found.repartition("id", "r").dropDuplicates(["id", "r", "no"])
     again = F.row_number().over(Window.partitionBy("id", "r", "k1", "k2").orderBy("no")) > 1
     each = found.withColumn("equal", again | (F.col("id") > F.col("first"))).where("equal OR near IS NOT NULL")
     keepers = F.array_compact(F.flatten(F.collect_set(F.array(F.when(F.col("equal"), F.col("first")), F.col("near")))))
