@@ -6,8 +6,8 @@ repositories and owners: a value that many owners carry is a widely copied examp
 always stay; a candidate token becomes a span (kind `owned`) unless it is such an example: a key in a document that is copied to a second owner or
 repository is `shared`, and stays.
 
-Aggregation is in two steps, first by (hash, owner, repository), so that a value in a third of all rows costs one row a task. Values themselves
-never leave their task, only digests do.
+Aggregation is in steps, first by (hash, owner, repository), so that a value in a third of all rows costs one row a task; values that more than a thousandth of
+all finds hold meet their counts by broadcast (a thousand values at most). Values themselves never leave their task, only digests do.
 
 Defined results: null text counts as empty; null owner or repository count as one owner or repository of their own; repeated rows are scanned each; rows without finds are returned
 with zero counts; an empty table gives no rows; extra columns are not read. Offsets are code points, ends exclusive."""
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import cut, steps, table, text_column
+from strataweave.llm.common import counted_join, cut, steps, table, text_column
 
 #: kind, pattern, group whose length counts, its least length; in the order in which kinds are listed
 BASE = (
@@ -94,22 +94,22 @@ def scan(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: st
     return source.mapInArrow(run, f"id {kind}, owner string, repo string, found {_SPANS}, base_sha256 string")
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(digest, n_owners, n_repos) of every value found, over the whole corpus."""
-    each = found.select("owner", "repo", F.explode(F.array_distinct(F.transform("found", lambda x: x["digest"]))).alias("digest"))
-    pairs = each.groupBy("digest", "owner", "repo").count()
-    owners = pairs.groupBy("digest", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
+def ownership(each: DataFrame) -> DataFrame:
+    """(digest, n, n_owners, n_repos) of every value found (digest, owner, repo), over the whole corpus; n: how often."""
+    pairs = each.groupBy("digest", "owner", "repo").agg(F.count("*").alias("n"))
+    owners = pairs.groupBy("digest", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    return owners.groupBy("digest").agg(F.sum("n").alias("n"), F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", max_owners: int = 1, max_repos: int = 1, example_owners: int = 3) -> DataFrame:
     """Per row: id, base_sha256, found (start, kind, end, digest, n_owners, n_repos, verdict). Verdicts: live (at most max_owners owners and max_repos
     repositories), example (example_owners or more owners), shared (between)."""
     rows = cut(scan(df, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()))
-    counts = ownership(rows)
+    each = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("x")).select("row", "owner", "repo", "x.*")
+    counts = cut(ownership(each.select("digest", "owner", "repo")), gathered=True)
+    total = counts.agg(F.sum("n")).first()[0] or 0
     verdict = F.when((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos), "live").when(F.col("n_owners") >= example_owners, "example").otherwise("shared")
-    each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("x")).select("row", "x.*")
-    judged = each.join(counts, "digest").select("row", F.struct("start", "kind", "end", "digest", "n_owners", "n_repos", verdict.alias("verdict")).alias("x"))
+    judged = counted_join(each.drop("owner", "repo"), counts, ["digest"], "n", total).select("row", F.struct("start", "kind", "end", "digest", "n_owners", "n_repos", verdict.alias("verdict")).alias("x"))
     kept = judged.where("x.kind < 3 OR x.verdict <> 'example'").groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("spans"))
     return rows.join(kept, "row", "left").select(F.col("id").alias(id_col), "base_sha256", "spans")
 
