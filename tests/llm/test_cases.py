@@ -63,13 +63,15 @@ RUNS = {
     "toxicity_unlabelled": lambda s, d: _toxic(s, d, labels_of(s)),
     "quality": lambda s, d: _quality(s, d, labels_of(s, [(1, 1, 1), (5, 0, None), (6, 1, 0), (None, 1, 1), (3, None, None)])),
     "quality_unlabelled": lambda s, d: _quality(s, d, labels_of(s)),
+    "keep_good": lambda s, d: quality.keep_good(d, quality.fit(d, labels_of(s, [(1, 1, 1), (5, 0, None), (6, 1, 0)])), least=0.0),
+    "drop_toxic": lambda s, d: toxicity.drop_toxic(d, toxicity.fit(d, labels_of(s, [(1, None, 1), (5, 0, None), (6, 1, 0)])), least=1.1),
 }
 
 
 @pytest.mark.parametrize("name", RUNS)
 def test_odd_rows_and_clashing_names(spark, name):
     rows = RUNS[name](spark, docs_of(spark)).collect()
-    if name in ("simhash", "lines", "secrets", "fingerprint", "edited", "toxicity", "quality", "toxicity_unlabelled", "quality_unlabelled"):
+    if name in ("simhash", "lines", "secrets", "fingerprint", "edited", "toxicity", "quality", "toxicity_unlabelled", "quality_unlabelled", "keep_good", "drop_toxic"):
         assert len(rows) == len(ODD)
         assert sorted(r[0] for r in rows if r[0] is not None) == sorted(i for i, _ in ODD if i is not None)
 

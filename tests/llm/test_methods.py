@@ -280,6 +280,47 @@ def test_links_in_a_large_group(spark, monkeypatch):
     root = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links)).collect()}
     near = {x for x in fps if (x ^ center).bit_count() <= 3}
     assert len({root[x] for x in near}) == 1 and set(root) == near
+    sizes = simhash.groups(spark.createDataFrame([(x,) for x in fps], "fp long")).groupBy("grp").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 16
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    same, other = "one two three four five six seven", "a text of its own that nothing else is like at all"
+    rows = [(0, same), (1, same), (1, other), (2, same + " "), (None, same)]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(0, same), (1, other), (None, same)], key=str)
+
+
+def test_stars_with_many_neighbours(spark):
+    edges = [(0, k) for k in range(1, 3000)] + [(5000 + k, 2 * k) for k in range(1500)] + [(9000, 9001)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(3000)}, **{5000 + k: 0 for k in range(1500)}, 9000: 9000, 9001: 9000}
+
+
+def test_ownership_against_brute_force(spark):
+    rng = random.Random(12)
+    values = ["".join(rng.sample("abcdefghijkLMNOPQRSTUVWXYZ0123456789", 24)) + f"aZ{k}" for k in range(40)]
+    rows = [(k, " and ".join(rng.choice(values[: rng.choice([3, 40])]) for _ in range(rng.randrange(4))), rng.choice(["a", "b", "c", "d", None]), rng.choice(["x", "y", None])) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    owners, repos = defaultdict(set), defaultdict(set)
+    spans = {k: [m for m in re.finditer(r"\S+", t) if len(m[0]) > 20] for k, t, _, _ in rows}
+    for k, _, owner, repo in rows:
+        for m in spans[k]:
+            owners[m[0]].add(owner)
+            repos[m[0]].add((owner, repo))
+    verdict = lambda v: "live" if len(owners[v]) == len(repos[v]) == 1 else "example" if len(owners[v]) > 2 else "shared"
+    for r in secrets.find_secrets(df).collect():
+        want = [(m.start(), m.end(), len(owners[m[0]]), len(repos[m[0]]), verdict(m[0])) for m in spans[r.doc_id] if verdict(m[0]) != "example"]
+        assert [(x.start, x.end, x.n_owners, x.n_repos, x.verdict) for x in r.spans or []] == want
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Far)
 
 
 def _within_one(a, b):
@@ -480,7 +521,10 @@ def test_url_equivalence(spark):
         (1, "http://a.org/x", link("http://b.example.com/en/1")), (2, "http://b.example.com/en/1", ""), (3, "https://A.org/x/#f", ""), (6, "http://c.org/r", '<meta http-equiv="refresh" content="0; url=/x2">'),
         (7, "http://c.org/x2", link("http://www.example.com/en/9")), (8, "http://q.net/es/1", link("http://c.org/x2")), (9, "http://example.com", ""), (10, "http://sub.www.example.com/en/", ""), (11, "http://d.org/1", link("http://x.net/fr/")),
     ]
-    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string"), urls.rule_table(spark)).collect()}
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(frame, urls.rule_table(spark)).collect()}
+    assert got[3] == (None, "allow")  # another scheme and path, and no link
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(frame, urls.rule_table(spark), forms=True).collect()}
     assert got == {1: (None, "block"), 2: ("example.com/en/", "block"), 3: (None, "block"), 6: (None, "allow"), 7: (None, "allow"), 8: ("net/es/", "block"), 9: (None, "allow"), 10: ("www.example.com/en/", "allow"), 11: (None, "block")}
     redirects = spark.createDataFrame([("http://d.org/1", "http://e.org/2"), ("http://e.org/2", "http://f.com/ok")], "from_url string, to_url string")
     more = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string"), urls.rule_table(spark), redirects).collect()}
@@ -502,3 +546,65 @@ def test_links_of_every_spelling(spark):
     pages = [(1, "http://a.org/d/1", '<meta http-equiv="Refresh" content="0; url=../e?a=1&amp;b=2">'), (2, "http://a.org/e?a=1&b=2", '<link rel="Canonical" href="http://q.net/es/1">'), (3, blocked, "")]
     got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id int, url string, html string"), urls.rule_table(spark)).collect()}
     assert got == {1: "block", 2: "block", 3: "block"}
+
+
+def _judged_brute(rows, redirects, rules):
+    """Verdicts of (id, url, targets) by walking over all links."""
+    names = {u for _, u, ts in rows for u in (u, *ts)} | {u for pair in redirects for u in pair if u}
+    near = defaultdict(set)
+    for a, b in [(u, t) for _, u, ts in rows for t in ts] + [(a, b) for a, b in redirects if a and b]:
+        near[a].add(b)
+        near[b].add(a)
+
+    def own(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        fits = [(-len(text), verdict != "block", verdict) for verdict, text in rules for h, _, p in [text.partition("/")] if (host == h or host.endswith("." + h)) and ("/" + path).startswith("/" + p)]
+        return min(fits)[2] if fits else None
+
+    out = {}
+    for i, url, _ in rows:
+        seen, todo = {url}, [url]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        found = {own(x) for x in seen & names}
+        out[i] = own(url) or ("block" if "block" in found and "allow" not in found else "allow")
+    return out
+
+
+def test_urls_against_brute_force(spark):
+    rng = random.Random(6)
+    hosts = ["a.org", "b.org", "x.example.com", "www.example.com", "s.net", "t.net"]
+    every = [f"http://{h}/{p}/{k}" for h in hosts for p in ("en", "es", "q") for k in range(9)]
+    rules = [*urls.RULES, ("allow", "b.org/q/"), ("block", "b.org/q/"), ("block", "t.net/q/")]
+    tag = lambda t: rng.choice(['<LINK href="{}" Rel=\'x Canonical\'>', '<link rel="canonical" href="{}">', "<meta http-equiv=Refresh content='3;URL={}'>"]).format(t)
+    rows = [(i, rng.choice(every), [rng.choice(every) for _ in range(rng.choice([0, 0, 0, 0, 1, 2]))]) for i in range(200)]
+    redirects = [(rng.choice(every), rng.choice(every)) for _ in range(20)] + [(None, every[0]), (every[0], None)]
+    frame = spark.createDataFrame([(i, u, "<p>x</p>" + "".join(map(tag, ts))) for i, u, ts in rows], "page_id int, url string, html string")
+    got = urls.judge(frame, urls.rule_table(spark, rules), spark.createDataFrame(redirects, "from_url string, to_url string")).collect()
+    want = _judged_brute(rows, redirects, rules)
+    assert {r.page_id: r.verdict for r in got} == want and {"block", "allow"} == set(want.values())
+    plain = {r.page_id: r.verdict for r in urls.judge(frame, urls.rule_table(spark)).collect()}
+    assert plain == _judged_brute(rows, [], urls.RULES)
+    import duckdb
+
+    pages = frame.toPandas()
+    found = duckdb.sql(urls.ORACLE).fetchall() if len(pages) else []
+    assert {r[0]: r[4] for r in found} == plain
+
+
+def test_urls_without_python(spark, data):
+    plan = urls.query(spark, data)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_items_of_any_id_and_repeated(spark):
+    from decimal import Decimal
+
+    text = "alpha beta gamma delta epsilon zeta eta"
+    docs = spark.createDataFrame([(Decimal(1), f"so {text} it goes"), (Decimal(2), "nothing of the kind here at all"), (None, text)], "doc_id decimal(10,0), text string")
+    items = spark.createDataFrame([(k, text) for k in (True, True, False, None)], "item_id boolean, text string")
+    got = decontaminate.contained_items(docs, items, index_shingles=4).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted([(d, i) for d in (Decimal(1), None) for i in (True, False, None)], key=str)
+    assert {(r.n_shingles, r.n_shared, r.containment) for r in got} == {(3, 3, 1.0)}

@@ -98,3 +98,22 @@ def test_empty_table_passes_through(spark, data):
         docs = stage(spark, docs, data)
         assert docs.count() == 0
     assert pipeline.packing_stage(spark, docs, data).count() == 0
+
+
+def test_stages_on_odd_rows(spark, data):
+    from test_cases import ODD
+
+    rows = [(i, t, None if i == 6 else "en", "s", None) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {name: stage(spark, docs, data) for name, stage in pipeline.STAGES}
+    for name in list(kept)[:-1]:
+        assert kept[name].columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    ids = lambda name: sorted((r.doc_id for r in kept[name].collect()), key=str)
+    every = sorted((i for i, _ in ODD), key=str)
+    assert ids("line_dedup") == every and ids("benchmark_decontamination") == every
+    assert ids("simhash_near_dedup") == sorted([1, 1, 2, 5, 6, 7, None], key=str)  # the repeated row is one document; 2, 3 and 4 have no words; the null id stays
+    assert set(ids("quality_classifier")) <= set(every)
+    lines = {(r.doc_id, r.text) for r in kept["line_dedup"].collect()}
+    assert (1, ODD[0][1]) in lines and (2, None) in lines and (4, " \n\t ") in lines
+    pieces = kept["best_fit_packing"].collect()
+    assert {r.doc_id for r in pieces} == {i for i, _ in ODD} and all(r.offset + r.length <= 2048 for r in pieces)
