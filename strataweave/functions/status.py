@@ -39,8 +39,10 @@ def blocks_publication(state: Column) -> Column:
 
 
 def gold_matches(gold_status: Column, gold_value: Column, status: Column, value: Column, also: Column | None = None) -> Column:
-    """Same status, and for values the same text or any acceptable one. Lists are compared as sorted strings by the caller."""
-    same = gold_value.eqNullSafe(value)
+    """Same status, and for values the same JSON text or any acceptable one; arrays are equal if their items are, as text and in any order."""
+    items = lambda v: F.array_sort(F.from_json(F.when(F.startswith(v, F.lit("[")), v), "array<string>"))
+    alike = lambda a: a.eqNullSafe(value) | F.coalesce(items(a) == items(value), F.lit(False))
+    same = alike(gold_value)
     if also is not None:
-        same = same | F.coalesce(F.array_contains(also, value), F.lit(False))
+        same = same | F.coalesce(F.exists(also, alike), F.lit(False))
     return (gold_status == status) & (~has_value(gold_status) | same)

@@ -123,8 +123,25 @@ class Vocabulary:
         return content_hash(asdict(self))
 
 
-def _policy(d: dict) -> ContextPolicy:
-    seq = tuple(Source(**s) if isinstance(s, dict) else Source(s) for s in d.get("sequence", ("prior_evidence",)))
+#: Names that files give to parts of a context policy, and the list that a selector takes.
+_FILE_NAMES = {"full_document_fallback": "full_document", "on_missing_context": "on_missing"}
+_LISTS = {"sections": "names", "unit_kinds": "kinds", "structured_fields": "fields"}
+
+
+def _source(s) -> Source:
+    """A selector by name, with our own names, or as {selector: its list or parameters}."""
+    if isinstance(s, str):
+        return Source(s, min_units=0 if s == "none" else 1)
+    if "selector" in s or len(s) != 1:
+        return Source(**s)
+    ((name, given),) = s.items()
+    return Source(name, given if isinstance(given, dict) else {_LISTS.get(name, "values"): list(given)} if isinstance(given, (list, tuple)) else {"value": given})
+
+
+def policy_from(d: dict) -> ContextPolicy:
+    """A context policy from its file form; a budget of its own may hold the limits, privacy the forbidden labels."""
+    d = {_FILE_NAMES.get(k, k): v for k, v in ({**(d.get("budget") or {}), **(d.get("privacy") or {}), **d}).items() if k not in ("budget", "privacy", "version")}
+    seq = tuple(_source(s) for s in d.get("sequence", ("prior_evidence",)))
     return ContextPolicy(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items() if k != "sequence"}, sequence=seq)
 
 
@@ -138,7 +155,7 @@ def load_recipes(text_or_ref: str) -> list[Recipe | Vocabulary]:
         for r in (doc or {}).get("recipes", ()):
             r = {k: tuple(v) if isinstance(v, list) else v for k, v in r.items()}
             if "context" in r:
-                r["context"] = _policy(r["context"])
+                r["context"] = policy_from(r["context"])
             if "escalation" in r:
                 r["escalation"] = Escalation(**r["escalation"])
             out.append(Recipe(**r))

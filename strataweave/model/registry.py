@@ -100,11 +100,11 @@ class Registry:
     def edges(self, approved_only: bool = True, branch: str | None = None) -> list[Migration]:
         return [m for _, m in sorted(self.migrations.items()) if m.direction == "upgrade" and (m.approved or not approved_only) and (m.branch is None or m.branch == branch)]
 
-    def paths(self, start: str, goal: str, approved_only: bool = True, branch: str | None = None, most: int = 16, no_full_document: bool = False) -> list[list[Migration]]:
+    def paths(self, start: str, goal: str, approved_only: bool = True, branch: str | None = None, most: int = 32, no_full_document: bool = False) -> list[list[Migration]]:
         """All simple paths of at most `most` migrations."""
         out, edges = [], self.edges(approved_only, branch)
         if no_full_document:
-            edges = [m for m in edges if all((s.context or {}).get("full_document") != "required" for s in m.steps)]
+            edges = [m for m in edges if all(s.full_document != "required" for s in m.steps)]
 
         def walk(at: str, path: list[Migration], seen: set[str]) -> None:
             if at == goal and path:
@@ -127,7 +127,7 @@ class Registry:
 
         def key(p: list[Migration]):
             worst, semantic, steps = max(m.worst_fidelity for m in p), sum(m.semantic_steps for m in p), sum(len(m.steps) for m in p)
-            by = {"fidelity": (worst, semantic, len(p)), "cost": (semantic, worst, len(p)), "hops": (len(p),), "latency": (steps, len(p))}[preference]
+            by = {"fidelity": (worst, semantic, len(p)), "cost": (semantic, worst, len(p)), "hops": (len(p), worst, semantic), "latency": (steps, len(p))}[preference]
             return (*by, *(m.migration_id for m in p))
 
         return min(found, key=key)

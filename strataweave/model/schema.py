@@ -146,11 +146,11 @@ class Schema:
         return [
             (self.ref, f.field_id, f.path, f.collection, f.base_type, f.multivalued, f.required, f.deterministic, f.semantic_key, f.structural_key, list(f.constraints.enum), f.constraints.open_vocabulary)
             + (None if f.constraints.minimum is None else float(f.constraints.minimum), None if f.constraints.maximum is None else float(f.constraints.maximum), f.constraints.pattern)
-            + (f.constraints.min_length, f.constraints.max_length, f.constraints.min_items, f.constraints.max_items)
+            + (f.constraints.min_length, f.constraints.max_length, f.constraints.min_items, f.constraints.max_items, " ".join(f.description.split()), f.recipe_ref, f.constraints.vocabulary_ref)
             for f in self.fields
         ]
 
-    ROW = "schema_ref string, field_id string, path string, collection string, base_type string, multivalued boolean, required boolean, deterministic boolean, semantic_key string, structural_key string, enum array<string>, open boolean, minimum double, maximum double, pattern string, min_length int, max_length int, min_items int, max_items int"
+    ROW = "schema_ref string, field_id string, path string, collection string, base_type string, multivalued boolean, required boolean, deterministic boolean, semantic_key string, structural_key string, enum array<string>, open boolean, minimum double, maximum double, pattern string, min_length int, max_length int, min_items int, max_items int, description string, recipe_ref string, vocabulary_ref string"
 
     def frame(self, spark):
         return spark.createDataFrame(self.rows(), self.ROW)
@@ -160,8 +160,8 @@ class Schema:
 
 KINDS = ("added", "removed", "renamed", "nesting_changed", "type_changed", "cardinality_changed", "requiredness_changed", "description_changed", "recipe_changed", "vocabulary_changed", "constraint_widened", "constraint_narrowed", "collection_added", "collection_removed")
 SHAPE = frozenset({"added", "removed", "renamed", "nesting_changed", "type_changed", "cardinality_changed", "requiredness_changed", "collection_added", "collection_removed"})
-VALUES = frozenset({"type_changed", "cardinality_changed", "constraint_narrowed", "requiredness_changed", "removed"})
-SEMANTICS = frozenset({"description_changed", "recipe_changed", "vocabulary_changed", "type_changed", "cardinality_changed"})
+VALUES = frozenset({"type_changed", "cardinality_changed", "constraint_narrowed", "removed"})
+SEMANTICS = frozenset({"added", "description_changed", "recipe_changed", "vocabulary_changed", "constraint_narrowed", "constraint_widened"})
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.functions.status import has_value
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest order of each key; partial aggregation before the shuffle, so a long history costs one row a task and key."""
@@ -52,6 +54,16 @@ def newest_parse(parses: DataFrame, keys: list[str]) -> DataFrame:
     return latest_per_key(parses, keys, ["parse_version"])
 
 
+def parse_versions(parses: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, versions): the parse versions of each, in order."""
+    return parses.groupBy(*keys).agg(F.array_sort(F.collect_set("parse_version")).alias("versions"))
+
+
+def filled_fields(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fields): the distinct fields that have a value, in order."""
+    return cells.where(has_value(F.col("status"))).groupBy(*keys).agg(F.array_sort(F.collect_set("field_id")).alias("fields"))
+
+
 def index_page(index: DataFrame, where: Column | None = None, failed_in: DataFrame | None = None, limit: int | None = None, offset: int = 0, by: str = "record_id") -> DataFrame:
     """Filtered, ordered, paged index rows; failed_in: only records with a failed step there."""
     out = index if where is None else index.where(where)

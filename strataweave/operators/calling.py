@@ -10,7 +10,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,18 +79,35 @@ class RuleBased(Adapter):
 
 @dataclass
 class Seeded(Adapter):
-    """Wraps another adapter and fails at a rate that hangs only on the request and the attempt, so that a rerun fails alike."""
+    """Wraps another adapter as a hosted model with its failures: at rates that hang only on the request and the attempt, so that a rerun fails alike.
+
+    rate: failures with `code`; rate_limited and garbled: calls that are turned away, and answers that fit no schema. A request over max_input_tokens, or with raw
+    bytes (request key binary) where they aren't taken, can't be cured by trying again."""
 
     inner: Adapter | None = None
     rate: float = 0.0
     code: str = "transport"
     seed: int = 0
+    rate_limited: float = 0.0
+    garbled: float = 0.0
+    accepts_binary: bool = True
+    max_input_tokens: int | None = None
+
+    def _falls(self, request: dict, what: str, rate: float) -> bool:
+        h = hashlib.sha256(f"{self.seed}|{what}{request['step_key']}|{request['attempt']}".encode()).digest()
+        return int.from_bytes(h[:4], "big") < rate * 2**32
 
     def generate(self, request):
-        h = hashlib.sha256(f"{self.seed}|{request['step_key']}|{request['attempt']}".encode()).digest()
-        if int.from_bytes(h[:4], "big") < self.rate * 2**32:
+        if request.get("binary") and not self.accepts_binary:
+            raise EngineError("context_unsupported", "binary documents aren't taken")
+        if self.max_input_tokens is not None and (n := estimate(len(request.get("prompt", "")))) > self.max_input_tokens:
+            raise EngineError("context_unsupported", f"{n} tokens are more than the model's {self.max_input_tokens}")
+        if self._falls(request, "limit|", self.rate_limited):
+            raise EngineError("rate_limited", "seeded rate limit")
+        if self._falls(request, "", self.rate):
             raise EngineError(self.code, "seeded failure")
-        return self.inner.generate(request)
+        out = self.inner.generate(request)
+        return replace(out, output={"__garbled__": True}) if self._falls(request, "schema|", self.garbled) else out
 
 
 @dataclass

@@ -41,11 +41,12 @@ def bm25(units: DataFrame, queries: DataFrame, doc: str = "source_id", top_k: in
 
     Frequencies and average length are of the document's own units; a term asked twice counts twice; only scores above zero; ties in order of the document. Scores are
     rounded before ranking, so that the order doesn't hang on the last bits of a sum."""
-    own = units.join(queries.select(doc).distinct(), doc, "left_semi").select(doc, "unit_id", "ordinal", tokens(F.col("text")).alias("words"))
+    terms = queries.groupBy(doc).agg(F.array_distinct(F.flatten(F.collect_list(tokens(F.col("query"))))).alias("terms"))
+    own = units.join(terms, doc).select(doc, "unit_id", "ordinal", tokens(F.col("text")).alias("words"), "terms")
     pool = own.groupBy(doc).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average"))
     asked = queries.select(doc, F.explode(tokens(F.col("query"))).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("asked"))
-    tf = own.select(doc, "unit_id", "ordinal", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(doc, "unit_id", "ordinal", "length", "term").agg(F.count("*").alias("tf"))
-    hit = tf.join(asked, [doc, "term"])
+    tf = own.select(doc, "unit_id", "ordinal", F.size("words").alias("length"), F.explode(F.filter("words", lambda w: F.array_contains("terms", w))).alias("term")).groupBy(doc, "unit_id", "ordinal", "length", "term").agg(F.count("*").alias("tf"))
+    hit = tf.join(asked, [doc, "term"])  # only words that are asked for are counted
     df = hit.groupBy(doc, "term").agg(F.count("*").alias("df"))
     part = F.col("asked") * bm25_part(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"))
     score = hit.join(df, [doc, "term"]).join(pool, doc).groupBy(doc, "unit_id", "ordinal").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
@@ -109,7 +110,11 @@ def _retrieve(requests, units, params, inputs):
 
 
 def _raw(requests, units, params, inputs):
-    return requests.select("request_id", F.concat(F.lit("raw:"), "source_id").alias("unit_id"), F.lit("other").alias("kind"), F.lit("").alias("section"), F.lit("").alias("text"), F.lit(0).alias("ordinal"), F.lit("raw_document").alias("origin"))
+    """The document itself: no text, but the hash of the source where requests carry it (source_hash)."""
+    name = F.concat(F.lit("raw:"), "source_id")
+    if "source_hash" in requests.columns:
+        name = F.concat_ws("@", name, "source_hash")
+    return requests.select("request_id", name.alias("unit_id"), F.lit("other").alias("kind"), F.lit("").alias("section"), F.lit("").alias("text"), F.lit(0).alias("ordinal"), F.lit("raw_document").alias("origin"))
 
 
 SELECTORS: dict[str, Selector] = {

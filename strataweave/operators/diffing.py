@@ -11,17 +11,18 @@ KEYS = ["record_id", "field_id", "entity"]
 
 
 def diff_records(before: DataFrame, after: DataFrame, keys: list[str] | None = None, provenance: bool = False) -> DataFrame:
-    """One row a slot with its kind. Both sides: keys, status, value and, where they have them, path, n_spans, origin (keys unique a side)."""
+    """One row a slot with its kind. Both sides: keys, status, value and, where they have them, path, evidence (its spans, compared as they are), origin (keys unique a side). A slot moves only between two paths."""
     keys = keys or KEYS
-    names = [c for c in ("status", "value", "path", "n_spans", "origin") if c in before.columns and c in after.columns]
+    names = [c for c in ("status", "value", "path", "evidence", "origin") if c in before.columns and c in after.columns]
     a, b = (df.select(*keys, F.lit(True).alias(f"{s}_there"), *(F.col(c).alias(f"{s}_{c}") for c in names)) for df, s in ((before, "old"), (after, "new")))
     both = a.join(b, keys, "full_outer")
     same = lambda c: F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
     kind = F.when(F.col("old_there").isNull(), "added").when(F.col("new_there").isNull(), "removed").when(~same("status"), "status_changed").when(~same("value"), "value_changed")
     if "path" in names:
-        kind = kind.when(~same("path"), "moved")
-    if "n_spans" in names:
-        kind = kind.when(~same("n_spans"), "evidence_changed")
+        kind = kind.when((F.col("old_path") != "") & (F.col("new_path") != "") & ~same("path"), "moved")
+    if "evidence" in names:
+        spans = lambda s: F.when(F.size(f"{s}_evidence") > 0, F.col(f"{s}_evidence"))  # noqa: E731  none is like no column
+        kind = kind.when(~spans("old").eqNullSafe(spans("new")), "evidence_changed")
     if provenance and "origin" in names:
         kind = kind.when(~same("origin"), "provenance_changed")
     return both.withColumn("kind", kind.otherwise("unchanged")).drop("old_there", "new_there")

@@ -42,15 +42,15 @@ def scores(compared: DataFrame, by: str = "field_id") -> DataFrame:
 
 
 def ratios(counts: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and the rest, at four places; null where the denominator is zero (abstention and validity: 0)."""
+    """Precision, recall, F1 and the rest, at four places; null where the denominator is zero (abstention and validity: 0), f1 also without a true positive."""
     tp, wrong, missed, spurious = (F.col(c) for c in ("true_positive", "wrong_value", "missed", "spurious"))
     ratio = lambda a, b: F.round(F.try_divide(a.cast("double"), b.cast("double")), 4)
     f1 = F.round(F.try_divide(2.0 * tp, 2.0 * tp + 2.0 * wrong + spurious + missed), 4)
     return counts.withColumns(
         {
-            "precision": ratio(tp, tp + wrong + spurious), "recall": ratio(tp, tp + wrong + missed), "f1": F.when((tp + wrong + spurious > 0) & (tp + wrong + missed > 0), f1),
-            "abstention": F.coalesce(ratio(F.col("missed") + F.col("true_negative"), F.col("n")), F.lit(0.0)), "support": ratio(F.col("supported"), F.col("with_value")),
-            "validity": F.coalesce(ratio(F.col("schema_valid"), F.col("n")), F.lit(0.0)), "change_rate": ratio(F.col("changed"), F.col("compared")),
+            "precision": ratio(tp, tp + wrong + spurious), "recall": ratio(tp, tp + wrong + missed), "f1": F.when(tp > 0, f1),
+            "abstention_rate": F.coalesce(ratio(F.col("missed") + F.col("true_negative"), F.col("n")), F.lit(0.0)), "evidence_support": ratio(F.col("supported"), F.col("with_value")),
+            "schema_validity": F.coalesce(ratio(F.col("schema_valid"), F.col("n")), F.lit(0.0)), "change_rate": ratio(F.col("changed"), F.col("compared")),
         }
     )
 
@@ -73,6 +73,8 @@ def gate_results(scored: DataFrame, gates: list[str], corpus: dict[str, float] |
         if corpus and g["metric"] in corpus:
             value: Column = F.lit(float(corpus[g["metric"]]))
             row = scored.sparkSession.range(1).select(F.lit(g["gate"]).alias("gate"), value.alias("low"), value.alias("high"))
+        elif g["metric"] not in scored.columns:
+            row = scored.sparkSession.range(1).select(F.lit(g["gate"]).alias("gate"), *(F.lit(None).cast("double").alias(c) for c in ("low", "high")))
         else:
             rows = scored if g["field"] is None else scored.where(F.col(by) == g["field"])
             row = rows.agg(F.min(g["metric"]).cast("double").alias("low"), F.max(g["metric"]).cast("double").alias("high")).withColumn("gate", F.lit(g["gate"]))

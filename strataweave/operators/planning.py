@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strataweave.functions.ids import content_hash, content_hash_col, in_scope_col, step_key_col
 from strataweave.functions.registry import identity
 from strataweave.functions.text import price, tokens_for_budget
-from strataweave.model.migration import ExecutionPolicy
+from strataweave.model.migration import FIDELITY, SEMANTIC, ExecutionPolicy
+from strataweave.model.recipe import policy_from
 from strataweave.model.registry import Registry
 
 REUSABLE = ("current", "accepted")
@@ -18,21 +19,26 @@ OUT_TOKENS = 250
 
 
 def currency(cells: DataFrame, expected: str = "expected", recipe: str | None = "expected_recipe") -> DataFrame:
-    """cells with state and stale_keys. Columns: status, accepted (boolean), hashes and expected (map<string,string>), recipe_ref.
+    """cells with state and stale_keys. Columns: status (null: no cell), accepted (boolean), hashes and expected (map<string,string>), recipe_ref.
 
-    Only expected keys are compared; the first of these holds: missing, failed, review, accepted, no_provenance, stale by keys, stale by recipe, current."""
+    Only expected keys are compared; the first of these holds: missing, failed, review, accepted (under the recipe that is asked for, where one is and the cell names one), no_provenance,
+    stale by keys, stale by recipe (key recipe_ref), current."""
     stale = F.array_sort(F.map_keys(F.map_filter(F.col(expected), lambda k, v: ~F.coalesce(F.try_element_at("hashes", k) == v, F.lit(False)))))
+    other = F.lit(False) if recipe is None else F.coalesce(F.col(recipe) != F.col("recipe_ref"), F.lit(False))
     state = (
-        F.when(F.col("status").isNull() | (F.col("status") == "not_extracted"), "missing")
+        F.when(F.col("status").isNull(), "missing")
         .when(F.col("status") == "extraction_failed", "failed")
         .when(F.col("status") == "review_required", "review")
-        .when(F.coalesce("accepted", F.lit(False)), "accepted")
+        .when(F.coalesce("accepted", F.lit(False)) & ~other, "accepted")
         .when(F.col("hashes").isNull() | (F.size("hashes") == 0), "no_provenance")
         .when(F.size("stale_keys") > 0, "stale")
     )
-    if recipe:
-        state = state.when(F.col(recipe).isNotNull() & ~F.col("recipe_ref").eqNullSafe(F.col(recipe)), "stale")
-    return cells.withColumn("stale_keys", F.coalesce(stale, F.array().cast("array<string>"))).withColumn("state", state.otherwise("current"))
+    out = cells.withColumn("stale_keys", F.coalesce(stale, F.array().cast("array<string>")))
+    if recipe is None:
+        return out.withColumn("state", state.otherwise("current"))
+    moved = F.col(recipe).isNotNull() & ~F.col("recipe_ref").eqNullSafe(F.col(recipe))
+    by_recipe = (F.col("state") == "stale") & (F.size("stale_keys") == 0)
+    return out.withColumn("state", state.when(moved, "stale").otherwise("current")).withColumn("stale_keys", F.when(by_recipe, F.array(F.lit("recipe_ref"))).otherwise(F.col("stale_keys")))
 
 
 def dependency_hashes(registry: Registry, schema_ref: str, step) -> dict[str, str]:
@@ -51,7 +57,15 @@ def dependency_hashes(registry: Registry, schema_ref: str, step) -> dict[str, st
     return out | {f"validator:{v}": identity("validator", v) for v in step.validators}
 
 
-STEP_ROW = "from_schema string, hop int, level int, migration_id string, step_id string, kind string, scope string, writes array<string>, reads array<string>, required_reads array<string>, static map<string,string>, recipe string, to_schema string, reusable boolean, chars_per_token double, out_tokens int, permitted boolean, target_fields array<string>"
+STEP_ROW = "from_schema string, hop int, level int, migration_id string, step_id string, kind string, scope string, writes array<string>, reads array<string>, required_reads array<string>, static map<string,string>, recipe string, to_schema string, reusable boolean, chars_per_token double, out_tokens int, permitted boolean, target_fields array<string>, fidelity int, model string, whole_at int"
+
+
+def _whole_at(step, recipe) -> int | None:
+    """Place in the sequence of a step's context where a whole document is taken, if it comes to that."""
+    if recipe is None:
+        return None
+    own = policy_from(dict(step.context)) if step.context else recipe.context
+    return next((k for k, s in enumerate(own.effective_sequence()) if s.selector in ("full_document", "raw_document")), None)
 
 
 def compile_steps(spark: SparkSession, registry: Registry, starts: list[str], target: str, policy: ExecutionPolicy) -> tuple[DataFrame, dict[str, str]]:
@@ -73,7 +87,7 @@ def compile_steps(spark: SparkSession, registry: Registry, starts: list[str], ta
                     required = list(s.params.get("require_reads") or ())
                     rows.append(
                         (start, hop, level, m.migration_id, s.step_id, s.kind, s.scope, list(s.writes), [*s.reads, *s.optional_reads], required, dependency_hashes(registry, m.to_schema, s), s.recipe, m.to_schema, s.reusable)
-                        + (r.context.chars_per_token if r else 4.0, r.out_tokens if r else OUT_TOKENS, True, sorted(registry.schema(m.to_schema).by_id()))
+                        + (r.context.chars_per_token if r else 4.0, r.out_tokens if r else OUT_TOKENS, True, sorted(registry.schema(m.to_schema).by_id()), FIDELITY.index(s.fidelity), r.model if r else None, _whole_at(s, r))
                     )
     return spark.createDataFrame(rows, STEP_ROW), blocked
 
@@ -103,6 +117,12 @@ def missing_reads(planned: DataFrame, reads: DataFrame) -> DataFrame:
     return due.join(usable, ["step_key", "field_id"], "left_anti").groupBy("step_key").agg(F.array_sort(F.collect_set("field_id")).alias("missing"))
 
 
+def probe(planned: DataFrame, cache: DataFrame) -> DataFrame:
+    """planned with cached: whether the cache has an answer under its cache_key (null keys never do)."""
+    out = planned.join(cache.select("cache_key", F.lit(True).alias("cached")), "cache_key", "left")
+    return out.withColumn("cached", F.coalesce("cached", F.lit(False)))
+
+
 def plan(index: DataFrame, entities: DataFrame, cells: DataFrame, steps: DataFrame, cache: DataFrame | None = None, context: DataFrame | None = None, prices: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """One row a step with its disposition: blocked, reuse, review, deterministic, cached, semantic.
 
@@ -120,11 +140,10 @@ def plan(index: DataFrame, entities: DataFrame, cells: DataFrame, steps: DataFra
     cache_key = content_hash_col(record=F.col("record_id"), entity=F.col("entity"), step=F.col("step_id"), writes=F.array_join("writes", ","), recipe=F.col("recipe"), static=F.to_json("static"), deps=F.to_json("deps"), context=F.col("context_hash") if context is not None else F.lit(None).cast("string"))
     if context is not None:
         out = out.join(context, "step_key", "left")
-    out = out.withColumn("cache_key", F.when(F.col("kind").isin("semantic", "evidence_semantic", "document_semantic"), cache_key))
+    out = out.withColumn("cache_key", F.when(F.col("kind").isin(*sorted(SEMANTIC)), cache_key))
     cached = F.lit(False)
     if cache is not None:
-        out = out.join(cache.select("cache_key", F.lit(True).alias("cached")), "cache_key", "left")
-        cached = F.coalesce("cached", F.lit(False))
+        out, cached = probe(out, cache), F.col("cached")
     semantic = F.when(F.col("recipe").isNull(), "blocked")
     if context is not None:
         semantic = semantic.when(~F.coalesce("satisfied", F.lit(False)), F.when(F.coalesce("on_missing", F.lit("review")) == "review", "review").otherwise("blocked")).when(~F.coalesce("permitted_context", F.lit(True)), "blocked")
@@ -135,7 +154,7 @@ def plan(index: DataFrame, entities: DataFrame, cells: DataFrame, steps: DataFra
         .when(F.col("reusable") & F.coalesce("reusable_writes", F.lit(False)), "reuse")
         .when(F.col("kind") == "manual_review", "review")
         .when(F.size("missing") > 0, "blocked")
-        .when(~F.col("kind").isin("semantic", "evidence_semantic", "document_semantic"), "deterministic")
+        .when(~F.col("kind").isin(*sorted(SEMANTIC)), "deterministic")
         .otherwise(semantic)
     )
     reason = F.when(undefined, "migration_invalid").when(F.size("missing") > 0, F.concat(F.lit("missing_dependency: "), F.array_join("missing", ", ")))
@@ -178,12 +197,25 @@ def summary(planned: DataFrame) -> DataFrame:
     return planned.groupBy("disposition").agg(F.count("*").alias("steps"), F.sum(F.size("writes")).alias("field_writes"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("usd"), 6).alias("usd"), F.count_distinct("record_id").alias("records"))
 
 
-def totals(planned: DataFrame, fidelity: Column | None = None) -> DataFrame:
+def totals(planned: DataFrame) -> DataFrame:
+    """One row: records, steps, calls, tokens, cost, records whose source is read or that are blocked, whole documents sent, the worst fidelity."""
     billable = F.col("disposition") == "semantic"
     return planned.agg(
         F.count_distinct("record_id").alias("n_records"), F.count("*").alias("n_steps"), F.count_if(billable).alias("calls"), F.count_if(F.col("disposition") == "cached").alias("cached"), F.round(F.sum("usd"), 6).alias("usd"),
-        F.count_distinct(F.when(F.col("disposition").isin("semantic", "cached"), F.col("record_id"))).alias("touching_source"),
-    )
+        F.count_distinct(F.when(F.col("disposition").isin("semantic", "cached"), F.col("record_id"))).alias("touching_source"), F.count_distinct(F.when(F.col("disposition") == "blocked", F.col("record_id"))).alias("blocked_records"),
+        F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"), F.coalesce(F.max("fidelity"), F.lit(0)).alias("fidelity"),
+        (F.count_if(billable & (F.col("used") == F.col("whole_at"))) if "used" in planned.columns else F.lit(0).cast("long")).alias("full_documents"),
+    ).withColumn("worst_fidelity", F.get(F.array(*(F.lit(x) for x in FIDELITY)), F.col("fidelity"))).drop("fidelity")
+
+
+def models(planned: DataFrame) -> DataFrame:
+    """(model, calls): the calls that are due, by the model that is asked first."""
+    return planned.where("disposition = 'semantic'").groupBy("model").agg(F.count("*").alias("calls"))
+
+
+def blocked_reasons(planned: DataFrame) -> DataFrame:
+    """(reason, steps): why steps are blocked, without what is missing."""
+    return planned.where("disposition = 'blocked'").groupBy(F.coalesce(F.substring_index("reason", ":", 1), F.lit("not permitted")).alias("reason")).agg(F.count("*").alias("steps"))
 
 
 def signature(planned: DataFrame, registry_hash: str) -> str:
@@ -192,11 +224,15 @@ def signature(planned: DataFrame, registry_hash: str) -> str:
     return content_hash([row["n"], str(row["s"]), registry_hash])
 
 
-def render(by_disposition: list, all_: dict) -> str:
-    """A summary as text."""
-    lines = [f"records {all_['n_records']}, steps {all_['n_steps']}, calls {all_['calls']} (cached {all_['cached']}), USD {all_['usd'] or 0:.4f}"]
-    return "\n".join(lines + [f"  {r['disposition']:<14}{r['steps']:>10}" for r in sorted(by_disposition, key=lambda r: r["disposition"])])
-
-
-def scope_matches(entity: Column, scope: Column) -> Column:
-    return in_scope_col(entity, scope)
+def render(by_disposition: list, all_: dict, models: dict[str, int] | None = None, reasons: dict[str, int] | None = None, stale: int = 0, head: str = "") -> str:
+    """A summary as text: what runs, what it costs, what is read and sent, what stops."""
+    lines = [head] if head else []
+    lines.append(f"records {all_['n_records']} ({all_['blocked_records']} with a blocked step), steps {all_['n_steps']}, calls {all_['calls']} (cached {all_['cached']}), USD {all_['usd'] or 0:.4f}")
+    lines += [f"  {d['disposition']}: {d['steps']} steps, {d['field_writes']} fields of {d['records']} records" for d in sorted(by_disposition, key=lambda d: d["disposition"])]
+    lines.append(f"tokens {all_['tokens_in']} in, {all_['tokens_out']} out; records whose source is read {all_['touching_source']}, whole documents sent {all_['full_documents']}; worst fidelity {all_['worst_fidelity']}")
+    for name, counts in (("models", models), ("blocked", reasons)):
+        if counts:
+            lines.append(f"{name}: " + ", ".join(f"{k} {n}" for k, n in sorted(counts.items())))
+    if stale:
+        lines.append(f"stale fields that no step writes: {stale} (valid in form, not current in meaning)")
+    return "\n".join(lines)

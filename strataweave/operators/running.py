@@ -10,25 +10,24 @@ from strataweave.functions.status import blocks_publication
 
 
 def publish_or_hold(steps: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
-    """(record_id, decision, version_state): a record with a blocking step or a structural failure is held; it waits for review if only that was asked."""
+    """(record_id, decision, version_state): a record with a blocking step or a structural failure is held; it waits for review if a step asked for that and its values are sound."""
     blocks = F.bool_or(blocks_publication(F.col("state")))
     asked = F.bool_or(F.col("state") == "review_needed")
-    failed = F.bool_or(F.col("state").isin("failed", "blocked", "cancelled"))
-    per = steps.groupBy("record_id").agg(blocks.alias("blocks"), asked.alias("asked"), failed.alias("failed"))
+    per = steps.groupBy("record_id").agg(blocks.alias("blocks"), asked.alias("asked"))
     bad = F.lit(False)
     if invalid is not None:
         per = per.join(invalid.select("record_id").distinct().withColumn("invalid", F.lit(True)), "record_id", "left")
         bad = F.coalesce("invalid", F.lit(False))
     held = F.col("blocks") | bad
-    state = F.when(~held, "published").when(F.col("asked") & ~bad & ~F.col("failed"), "review_needed").otherwise("failed")
+    state = F.when(~held, "published").when(F.col("asked") & ~bad, "review_needed").otherwise("failed")
     return per.select("record_id", F.when(held, "hold").otherwise("publish").alias("decision"), state.alias("version_state"))
 
 
 def run_status(decisions: DataFrame, cancelled: bool = False) -> DataFrame:
-    """One row: succeeded, partial, failed or cancelled."""
+    """One row: succeeded, partial, failed or cancelled. Held and blocked records and those for review are partial success; a run fails where a record broke (decision `error`) and none was published."""
     n, done = F.count("*"), F.count_if(F.col("decision") == "publish")
-    review = F.count_if(F.col("version_state") == "review_needed")
-    status = F.when(F.lit(cancelled), "cancelled").when(n == done, "succeeded").when((done > 0) | (n == review), "partial").otherwise("failed")
+    broken = F.count_if(F.col("decision") == "error")
+    status = F.when(F.lit(cancelled), "cancelled").when(n == done, "succeeded").when((done > 0) | (broken == 0), "partial").otherwise("failed")
     return decisions.agg(n.alias("records"), done.alias("published"), status.alias("status"))
 
 
@@ -54,6 +53,12 @@ def lineage_hash(cells: DataFrame, key: list[str]) -> DataFrame:
     return cells.groupBy(*key).agg(text_hash_col(F.array_join(parts, ",")).alias("lineage"))
 
 
+def executions(log: DataFrame, most: int | None = None) -> DataFrame:
+    """Executions (execution_id, created_at, ...), the newest first."""
+    out = log.orderBy(F.desc("created_at"), F.desc("execution_id"))
+    return out if most is None else out.limit(most)
+
+
 def state_histogram(steps: DataFrame) -> DataFrame:
     return steps.groupBy("state").agg(F.count("*").alias("n"))
 

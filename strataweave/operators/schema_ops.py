@@ -8,32 +8,52 @@ from pyspark.sql import functions as F
 from strataweave.model.schema import SEMANTICS, SHAPE, VALUES
 
 
-def diff_fields(old: DataFrame, new: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """One row a change (kind, field_id) from full outer join on identity; columns as Schema.rows()."""
+#: Bounds of values: whether a greater one is tighter (None: any other one is).
+BOUNDS = {"minimum": True, "maximum": False, "min_length": True, "max_length": False, "min_items": True, "max_items": False, "pattern": None}
+
+
+def diff_fields(old: DataFrame, new: DataFrame, on: list[str] | None = None, renames: dict[str, str] | None = None) -> DataFrame:
+    """One row a change (keys, kind, detail) from a full outer join on identity; columns as Schema.rows(), those that either side lacks aren't compared.
+
+    renames: old field ids to new ones. detail names what changed where a kind has several."""
     keys = on or ["field_id"]
-    names = ["path", "collection", "base_type", "multivalued", "required", "semantic_key", "enum", "minimum", "maximum"]
+    if renames:
+        table = F.create_map(*(F.lit(x) for kv in renames.items() for x in kv))
+        old = old.withColumn("field_id", F.coalesce(F.try_element_at(table, F.col("field_id")), F.col("field_id")))
+    plain = {"base_type": "type_changed", "multivalued": "cardinality_changed", "required": "requiredness_changed", "description": "description_changed", "recipe_ref": "recipe_changed", "vocabulary_ref": "vocabulary_changed"}
+    names = [c for c in ("path", "collection", "enum", "open", *plain, *BOUNDS) if c in old.columns and c in new.columns]
     a, b = (df.select(*keys, F.lit(True).alias(f"{s}_there"), *(F.col(c).alias(f"{s}_{c}") for c in names)) for df, s in ((old, "old"), (new, "new")))
     both = a.join(b, keys, "full_outer")
-    differ = lambda c: ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
-    pair = F.col("old_there") & F.col("new_there")
-    lost, won = (F.size(F.array_except(F.coalesce(x, F.array().cast("array<string>")), F.coalesce(y, F.array().cast("array<string>")))) > 0 for x, y in ((F.col("old_enum"), F.col("new_enum")), (F.col("new_enum"), F.col("old_enum"))))
-    tighter = (differ("minimum") & F.col("new_minimum").isNotNull() & (F.col("old_minimum").isNull() | (F.col("new_minimum") > F.col("old_minimum")))) | (
-        differ("maximum") & F.col("new_maximum").isNotNull() & (F.col("old_maximum").isNull() | (F.col("new_maximum") < F.col("old_maximum")))
-    )
-    looser = (differ("minimum") & (F.col("new_minimum").isNull() | (F.col("new_minimum") < F.col("old_minimum")))) | (differ("maximum") & (F.col("new_maximum").isNull() | (F.col("new_maximum") > F.col("old_maximum"))))
-    kinds = F.array_compact(
-        F.array(
-            F.when(F.col("old_there").isNull(), "added"),
-            F.when(F.col("new_there").isNull(), "removed"),
-            F.when(pair & differ("path"), F.when(differ("collection"), "nesting_changed").otherwise("renamed")),
-            F.when(pair & differ("base_type"), "type_changed"),
-            F.when(pair & differ("multivalued"), "cardinality_changed"),
-            F.when(pair & differ("required"), "requiredness_changed"),
-            F.when(pair & (lost | F.coalesce(tighter, F.lit(False))), "constraint_narrowed"),
-            F.when(pair & ((won & ~lost) | F.coalesce(looser, F.lit(False))), "constraint_widened"),
-        )
-    )
-    return both.select(*keys, F.explode(kinds).alias("kind"))
+    was, is_ = (lambda c: F.col(f"old_{c}")), (lambda c: F.col(f"new_{c}"))
+    differ = lambda c: ~was(c).eqNullSafe(is_(c))
+    none = F.array().cast("array<string>")
+    less = lambda x, y: F.size(F.array_except(F.coalesce(x, none), F.coalesce(y, none))) > 0
+    found = [("path", F.when(differ("path"), F.when(differ("collection"), "nesting_changed").otherwise("renamed")))]
+    found += [(c, F.when(differ(c), kind)) for c, kind in plain.items() if c in names]
+    found.append(("enum", F.when(less(was("enum"), is_("enum")), "constraint_narrowed").when(less(is_("enum"), was("enum")), "constraint_widened")))
+    if "open" in names:
+        some = (F.size(F.coalesce(was("enum"), none)) > 0) | (F.size(F.coalesce(is_("enum"), none)) > 0)
+        found.append(("open", F.when(differ("open") & some, F.when(was("open"), "constraint_narrowed").otherwise("constraint_widened"))))
+    for c, greater in BOUNDS.items():
+        if c in names:
+            tighter = F.lit(True) if greater is None else (is_(c) > was(c)) == F.lit(greater)
+            found.append((c, F.when(differ(c), F.when(is_(c).isNull(), "constraint_widened").when(was(c).isNull() | tighter, "constraint_narrowed").otherwise("constraint_widened"))))
+    changes = F.array(*(F.struct(kind.alias("kind"), F.lit(c).alias("detail")) for c, kind in found))
+    alone = lambda kind: F.array(F.struct(F.lit(kind).alias("kind"), F.lit("").alias("detail")))
+    kinds = F.when(F.col("old_there").isNull(), alone("added")).when(F.col("new_there").isNull(), alone("removed")).otherwise(F.filter(changes, lambda x: x["kind"].isNotNull()))
+    return both.select(*keys, F.inline(kinds))
+
+
+def diff_collections(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(collection, kind): collections that came or went, the ones around them too."""
+
+    def all_of(df: DataFrame) -> DataFrame:
+        names = F.split("collection", r"\[\]")
+        each = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.concat(F.array_join(F.slice(names, F.lit(1), k), "[]"), F.lit("[]")))
+        return df.where("collection <> ''").select(F.explode(each).alias("collection")).distinct()
+
+    a, b = all_of(old), all_of(new)
+    return b.join(a, "collection", "left_anti").withColumn("kind", F.lit("collection_added")).unionByName(a.join(b, "collection", "left_anti").withColumn("kind", F.lit("collection_removed")))
 
 
 def verdicts(diff: DataFrame) -> DataFrame:
@@ -48,7 +68,7 @@ def enum_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return out.where((F.size("removed") > 0) | (F.size("added") > 0))
 
 
-def migration_paths(spark, edges: DataFrame, start: str, goal: str, most: int = 8) -> DataFrame:
+def migration_paths(spark, edges: DataFrame, start: str, goal: str, most: int = 32) -> DataFrame:
     """All simple paths from start to goal with at most `most` hops: (path, hops, worst, semantic, steps). Edges: src, dst, migration_id, fidelity, semantic, steps."""
     edges.createOrReplaceTempView("sw_edge")
     return spark.sql(
@@ -64,7 +84,7 @@ def migration_paths(spark, edges: DataFrame, start: str, goal: str, most: int =
 
 
 def best_path(paths: DataFrame, preference: str = "fidelity") -> DataFrame:
-    key = {"fidelity": ("worst", "semantic", "hops"), "cost": ("semantic", "worst", "hops"), "hops": ("hops",), "latency": ("steps", "hops")}[preference]
+    key = {"fidelity": ("worst", "semantic", "hops"), "cost": ("semantic", "worst", "hops"), "hops": ("hops", "worst", "semantic"), "latency": ("steps", "hops")}[preference]
     return paths.agg(F.min_by(F.struct(*paths.columns), F.struct(*key, "path")).alias("p")).select("p.*").where("path IS NOT NULL")
 
 

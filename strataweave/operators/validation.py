@@ -13,9 +13,11 @@ from strataweave.functions.status import has_value
 RANK = {"pass": 0, "review": 1, "fail": 2}
 
 
-def _type_ok(item: Column) -> Column:
-    kind = F.schema_of_variant(item)
-    whole = kind.isin("BIGINT", "TINYINT", "SMALLINT", "INT") | kind.rlike(r"^DECIMAL\(\d+,0\)$")
+_NUMBERS = "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$"
+
+
+def _type_ok(kind: Column) -> Column:
+    whole = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$")
     return (
         F.when(F.col("base_type") == "string", kind == "STRING")
         .when(F.col("base_type") == "integer", whole)
@@ -27,20 +29,31 @@ def _type_ok(item: Column) -> Column:
 
 
 def _item_faults(item: Column) -> Column:
-    """Faults of one value (codes); a wrong type hides the others, null items are skipped."""
-    text, number = F.try_variant_get(item, "$", "string"), F.try_variant_get(item, "$", "double")
-    is_text, is_number = F.schema_of_variant(item) == "STRING", F.schema_of_variant(item).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$")
-    checks = F.array_compact(
-        F.array(
-            F.when(is_text & (F.size("enum") > 0) & ~F.col("open") & ~F.array_contains("enum", text), "enum"),
-            F.when(is_number & (number < F.col("minimum")), "minimum"),
-            F.when(is_number & (number > F.col("maximum")), "maximum"),
-            F.when(is_text & (F.length(text) < F.col("min_length")), "min_length"),
-            F.when(is_text & (F.length(text) > F.col("max_length")), "max_length"),
-            F.when(is_text & F.expr("pattern IS NOT NULL") & ~F.regexp(text, F.coalesce("pattern", F.lit(""))), "pattern"),
+    """Faults of one value (codes); a wrong type hides the others, null items are skipped. The value's kind is told once, its text and number only where they are asked for."""
+
+    def told(x: Column) -> Column:
+        value, kind = x["value"], x["kind"]
+        text, number = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")), F.when(kind.rlike(_NUMBERS), F.try_variant_get(value, "$", "double"))
+        bounded, sized = F.expr("minimum IS NOT NULL OR maximum IS NOT NULL"), F.expr("size(enum) > 0 OR min_length IS NOT NULL OR max_length IS NOT NULL OR pattern IS NOT NULL")
+        none = F.array().cast("array<string>")
+        of_number = lambda n: F.array_compact(F.array(F.when(n < F.col("minimum"), "minimum"), F.when(n > F.col("maximum"), "maximum")))
+        of_text = lambda t: F.array_compact(
+            F.array(
+                F.when((F.size("enum") > 0) & ~F.col("open") & ~F.array_contains("enum", t), "enum"),
+                F.when(F.length(t) < F.col("min_length"), "min_length"),
+                F.when(F.length(t) > F.col("max_length"), "max_length"),
+                F.when(F.expr("pattern IS NOT NULL") & ~F.regexp(t, F.coalesce("pattern", F.lit(""))), "pattern"),
+            )
         )
-    )
-    return F.when(item.isNull() | F.is_variant_null(item), F.array().cast("array<string>")).when(~_type_ok(item), F.array(F.lit("type"))).otherwise(checks)
+        checks = F.when(bounded & number.isNotNull(), _bind(number, of_number)).when(sized & text.isNotNull(), _bind(text, of_text)).otherwise(none)
+        return F.when(kind.isNull() | (kind == "VOID"), none).when(~_type_ok(kind), F.array(F.lit("type"))).otherwise(checks)
+
+    return _bind(F.struct(item.alias("value"), F.schema_of_variant(item).alias("kind")), told)
+
+
+def _bind(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def faults(cells: DataFrame, fields: DataFrame) -> DataFrame:

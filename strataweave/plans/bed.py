@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataweave.model.schema import FieldDefinition, Schema
+
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
@@ -41,6 +43,22 @@ def cell(spark, d):
     return root.unionByName(lines).select("record_id", "field_id", "entity", status.alias("status"), "value")
 
 
+def order_schema():
+    """The schema of order_json; number is any number."""
+    line = lambda name, kind: FieldDefinition(f"lines[].{name}", kind, name)
+    return Schema("order", "1.0", (FieldDefinition("status"), FieldDefinition("priority"), FieldDefinition("totalprice", "number"), line("quantity", "number"), line("discount", "number"), line("tax", "number"), line("returnflag", "string")))
+
+
+def order_json(spark, d):
+    """(record_id, record): orders as nested JSON records; the return flag N is null."""
+    e = entity(spark, d)
+    one = F.struct("position", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.nullif("l_returnflag", F.lit("N")).alias("returnflag"))
+    lines = e.groupBy("record_id").agg(F.array_sort(F.collect_list(F.when(F.col("position") >= 0, one))).alias("lines"))
+    both = record(spark, d).join(lines, "record_id")
+    whole = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("totalprice"), F.transform("lines", lambda x: x.dropFields("position")).alias("lines"))
+    return both.select("record_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("record"))
+
+
 def unit(spark, d):
     """Lines of documents, empty ones dropped but counted."""
     each = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "lang", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).where("text <> ''")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import ids, text
-from strataweave.functions.status import has_value
 from strataweave.model.recipe import ContextPolicy
-from strataweave.operators import artifacts, context, diffing, documents, evaluation, planning, records, review, running, schema_ops, validation
+from strataweave.model.migration import dump_migrations, load_migrations
+from strataweave.model.schema import Constraints, FieldDefinition, Schema
+from strataweave.operators import artifacts, calling, context, diffing, documents, evaluation, planning, records, review, running, schema_ops, validation
 from strataweave.plans import bed, runs
+from strataweave.sources import jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +34,19 @@ def long(c):
     return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
 
 
+_FILE = """
+id: m
+from_schema: a@1
+to_schema: a@2
+steps:
+- {id: s1, kind: structural, reads: ["field:a", "vocab:V@1"], writes: ["field:b"], transform: t@1, fidelity: potentially_lossy}
+- {id: s2, kind: source_semantic, reads: ["field:a", "evidence:a", "source:parsed"], writes: ["field:c"], recipe: r@1, context: {sequence: [prior_evidence, {sections: [methods]}]}}
+- {id: s3, kind: evidence_semantic, reads: ["evidence:a"], writes: ["field:d"], recipe: r@1}
+- {id: s4, kind: reextraction, writes: ["field:e"], recipe: r@1, fidelity: destructive}
+- {id: s5, kind: vocabulary, reads: ["field:a"], writes: ["field:a"], transform: t@1}
+- {id: s6, kind: validation}
+"""
+
 # flagship: which cells are current, and what is to be done ------------------------------------------------------------------------
 
 
@@ -49,7 +65,7 @@ def _verdicts(spark, d):
     return planning.currency(cells, recipe=None)
 
 
-_VERDICT = """+ v AS (SELECT c.*, n.required, CASE WHEN c.status = 'not_extracted' THEN 'missing' WHEN c.status = 'extraction_failed' THEN 'failed' WHEN c.status = 'review_required' THEN 'review' WHEN o.semantic_key IS NULL THEN 'no_provenance'
+_VERDICT = """+ v AS (SELECT c.*, n.required, CASE WHEN c.status IS NULL THEN 'missing' WHEN c.status = 'extraction_failed' THEN 'failed' WHEN c.status = 'review_required' THEN 'review' WHEN o.semantic_key IS NULL THEN 'no_provenance'
   WHEN o.semantic_key <> n.semantic_key THEN 'stale' ELSE 'current' END AS state, CASE WHEN o.semantic_key IS NULL OR o.semantic_key <> n.semantic_key THEN 'field_def:' || c.field_id ELSE '' END AS keys
   FROM b_cell c JOIN b_field n ON n.field_id = c.field_id AND n.schema_ref = 'order@1.1' LEFT JOIN b_field o ON o.field_id = c.field_id AND o.schema_ref = 'order@1.0') """
 
@@ -81,6 +97,12 @@ def stale_fields(spark, d):
     return planning.stale_fields(v, target, planned).select("record_id", "entity", "field_id", "state")
 
 
+@query(_VERDICT + "SELECT record_id, entity, 'stale:' || field_id AS step_id, field_id AS writes, 'review' AS disposition FROM v WHERE state NOT IN ('current', 'accepted') AND field_id <> 'quantity'", "b_cell", "b_field")
+def stale_review_steps(spark, d):
+    v = _verdicts(spark, d).where("state NOT IN ('current', 'accepted') AND field_id <> 'quantity'")
+    return planning.stale_reviews(v, "m").select("record_id", "entity", "step_id", F.array_join("writes", ",").alias("writes"), "disposition")
+
+
 # scans, store ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -104,8 +126,9 @@ def artifact_dedupe(spark, d):
 @query("WITH h AS (SELECT sha256(text) AS k, source FROM documents) SELECT CASE WHEN k IN (SELECT k FROM h WHERE source = 'src0') THEN 'hit' ELSE 'miss' END AS outcome, count(*) AS n FROM h WHERE source <> 'src0' GROUP BY 1")
 def cache_hits_misses(spark, d):
     h = bed.table(spark, d, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("k"), "source")
-    cache = artifacts.append_new(None, h.where("source = 'src0'").select("k"), ["k"]).withColumn("hit", F.lit(True))
-    return h.where("source <> 'src0'").join(cache, "k", "left").groupBy(F.when(F.col("hit"), "hit").otherwise("miss").alias("outcome")).agg(F.count("*").alias("n"))
+    cache = artifacts.append_new(None, h.where("source = 'src0'").select(F.col("k").alias("cache_key")), ["cache_key"])
+    asked = h.where("source <> 'src0'").select(F.col("k").alias("cache_key"))
+    return planning.probe(asked, cache).groupBy(F.when(F.col("cached"), "hit").otherwise("miss").alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(DISTINCT sha256(text)) AS entries FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src0')")
@@ -123,40 +146,51 @@ def upsert_index(spark, d):
 
 @query("SELECT * FROM (SELECT CAST(event_id AS VARCHAR) AS execution_id, ts AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20)")
 def list_executions(spark, d):
-    return bed.table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select(F.col("event_id").cast("string").alias("execution_id"), F.col("ts").alias("created_at"))
+    log = bed.table(spark, d, "events").select(F.col("event_id").alias("execution_id"), F.col("ts").alias("created_at"))
+    return running.executions(log, 20).select(F.col("execution_id").cast("string").alias("execution_id"), "created_at")
 
 
 # shred and assemble ------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT record_id, field_id, entity, status, value FROM b_cell", "b_cell")
+@query("SELECT record_id, field_id, entity, CASE WHEN value IS NULL OR field_id = 'returnflag' AND value = 'N' THEN 'not_reported' ELSE 'present' END AS status, CASE WHEN field_id IN ('status', 'priority') OR field_id = 'returnflag' AND value <> 'N' THEN value END AS text, CASE WHEN field_id IN ('totalprice', 'quantity', 'discount', 'tax') THEN CAST(value AS DOUBLE) END AS number FROM b_cell", "b_cell")
 def decompose_cells(spark, d):
-    return bed.cell(spark, d)
+    cells = records.decompose(bed.order_json(spark, d), bed.order_schema())[0]
+    number = F.col("field_id").isin("totalprice", "quantity", "discount", "tax")
+    text_ = F.from_json(F.concat(F.lit("["), "value_json", F.lit("]")), "array<string>")
+    return cells.select("record_id", "field_id", "entity", "status", F.when(~number, F.get(text_, F.lit(0))).alias("text"), F.when(number, F.col("value_json").cast("double")).alias("number"))
+
+
+def _line_entities(spark, d):
+    return records.decompose(bed.order_json(spark, d), bed.order_schema())[1].where("collection_path = 'lines[]'")
 
 
 @query("SELECT record_id, entity, position FROM b_entity", "b_entity")
 def entity_rows(spark, d):
-    return bed.entity(spark, d).select("record_id", "entity", "position")
+    return _line_entities(spark, d).select("record_id", "entity", "position")
 
 
 @query("SELECT record_id, entity FROM b_entity WHERE position = -1", "b_entity")
 def empty_collections(spark, d):
-    return bed.entity(spark, d).where("position = -1").select("record_id", "entity")
+    return _line_entities(spark, d).where("position = -1").select("record_id", "entity")
+
 
+def _assembled(spark, d):
+    schema = bed.order_schema()
+    whole = records.assemble(*records.decompose(bed.order_json(spark, d), schema), schema)
+    return whole.select("record_id", F.from_json("record", "status string, priority string, lines array<struct<quantity: double, returnflag: string>>").alias("r"))
 
-@query("SELECT record_id, count(*) FILTER (position >= 0) AS n_lines, coalesce(string_agg(l_returnflag, '' ORDER BY position) FILTER (position >= 0), '') AS flags, round(coalesce(sum(l_quantity), 0), 2) AS quantity FROM b_entity GROUP BY 1", "b_entity")
+
+@query("SELECT record_id, count(*) FILTER (position >= 0) AS n_lines, coalesce(string_agg(nullif(l_returnflag, 'N'), '' ORDER BY position) FILTER (position >= 0), '') AS flags, round(coalesce(sum(l_quantity), 0), 2) AS quantity FROM b_entity GROUP BY 1", "b_entity")
 def assemble_orders(spark, d):
-    e = bed.entity(spark, d)
-    lines = F.array_sort(F.collect_list(F.when(F.col("position") >= 0, F.struct("position", "l_returnflag"))))
-    per = e.groupBy("record_id").agg(lines.alias("lines"), F.round(F.coalesce(F.sum("l_quantity"), F.lit(0.0)), 2).alias("quantity"))
-    return per.select("record_id", F.size("lines").cast("long").alias("n_lines"), F.array_join(F.transform("lines", lambda x: x["l_returnflag"]), "").alias("flags"), "quantity")
+    per = _assembled(spark, d).select("record_id", "r.lines")
+    quantity = F.aggregate("lines", F.lit(0.0), lambda n, x: n + x["quantity"])
+    return per.select("record_id", F.size("lines").cast("long").alias("n_lines"), F.array_join(F.transform("lines", lambda x: x["returnflag"]), "").alias("flags"), F.round(quantity, 2).alias("quantity"))
 
 
 @query("SELECT record_id, max(CASE WHEN field_id = 'status' THEN value END) AS status, max(CASE WHEN field_id = 'priority' THEN value END) AS priority FROM b_cell WHERE entity = '' GROUP BY 1", "b_cell")
 def assemble_root(spark, d):
-    root = bed.cell(spark, d).where("entity = ''")
-    pick = lambda f: F.max(F.when(F.col("field_id") == f, F.col("value")))
-    return root.groupBy("record_id").agg(pick("status").alias("status"), pick("priority").alias("priority"))
+    return _assembled(spark, d).select("record_id", "r.status", "r.priority")
 
 
 @query("""SELECT CASE WHEN k % 10 = 0 THEN 'not_reported' WHEN k % 10 = 1 THEN 'unknown' WHEN k % 10 = 2 THEN 'extraction_failed' WHEN k % 10 = 3 THEN 'not_applicable' ELSE 'present' END AS status, count(*) AS n,
@@ -172,7 +206,7 @@ def codec_status(spark, d):
 
 @query("SELECT entity, count(*) AS n FROM b_entity WHERE position >= 0 GROUP BY 1", "b_entity")
 def entity_keys(spark, d):
-    return bed.entity(spark, d).where("position >= 0").groupBy("entity").agg(F.count("*").alias("n"))
+    return _line_entities(spark, d).where("position >= 0").groupBy("entity").agg(F.count("*").alias("n"))
 
 
 # latest, history ---------------------------------------------------------------------------------------------------------------------
@@ -196,7 +230,8 @@ def newest_parse(spark, d):
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS versions FROM events GROUP BY 1")
 def parse_versions(spark, d):
-    return bed.table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("versions"))
+    parses = bed.table(spark, d, "events").select("user_id", F.col("event_type").alias("parse_version"))
+    return artifacts.parse_versions(parses, ["user_id"]).select("user_id", F.array_join("versions", ",").alias("versions"))
 
 
 @query("SELECT record_id, field_id, count(*) AS n, sum(CASE WHEN p IS NULL OR p <> value THEN 1 ELSE 0 END)::BIGINT AS changes FROM (SELECT *, lag(value) OVER (PARTITION BY record_id, field_id ORDER BY created_at, artifact_id) AS p FROM b_log) GROUP BY ALL", "b_log")
@@ -233,6 +268,17 @@ def record_diff(spark, d):
     return diffing.diff_records(*_first_last(spark, d)).select("record_id", "field_id", "entity", "kind")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'moved' WHEN doc_id % 7 = 1 THEN 'evidence_changed' ELSE 'unchanged' END AS kind FROM documents")
+def record_diff_moves(spark, d):
+    """Equal values: a slot with two paths moves, one whose path is missing on a side doesn't; spans that are elsewhere are changed evidence, however many they are."""
+    span = lambda at: F.array(F.struct(F.lit("u1").alias("unit_id"), at.alias("start")))
+    k = F.col("doc_id") % 7
+    side = lambda path, at: bed.table(spark, d, "documents").select(F.col("doc_id"), F.lit("present").alias("status"), F.col("lang").alias("value"), path.alias("path"), span(at).alias("evidence"))
+    before = side(F.when(k == 2, F.lit(None)).otherwise(F.lit("a")), F.lit(0))
+    after = side(F.when(k == 0, "b").when(k == 3, "").otherwise("a"), F.when(k == 1, 5).otherwise(0))
+    return diffing.diff_records(before, after, ["doc_id"]).select("doc_id", "kind")
+
+
 @query(_DIFF + "SELECT kind, count(*) AS n FROM x GROUP BY 1", "b_log")
 def diff_counts(spark, d):
     return diffing.diff_counts(diffing.diff_records(*_first_last(spark, d)))
@@ -271,11 +317,33 @@ _SCHEMA = """+ p AS (SELECT field_id, o.path AS op, n.path AS np, o.collection A
 
 @query(_SCHEMA + "SELECT field_id, kind FROM k WHERE kind IS NOT NULL", "b_field")
 def schema_diff(spark, d):
-    return schema_ops.diff_fields(bed.fields(spark, "order@1.0"), bed.fields(spark, "order@1.1"))
+    return schema_ops.diff_fields(bed.fields(spark, "order@1.0"), bed.fields(spark, "order@1.1")).select("field_id", "kind").distinct()
+
+
+_EVERY_KIND = [
+    ("a", "type_changed", "base_type"), ("b", "description_changed", "description"), ("c", "recipe_changed", "recipe_ref"), ("d", "vocabulary_changed", "vocabulary_ref"), ("e", "constraint_narrowed", "open"), ("f", "constraint_widened", "max_length"),
+    ("g", "constraint_narrowed", "pattern"), ("h", "constraint_narrowed", "min_items"), ("i", "nesting_changed", "path"), ("k2", "renamed", "path"), ("l", "removed", ""), ("m", "added", ""), ("n", "cardinality_changed", "multivalued"), ("n", "requiredness_changed", "required"),
+    ("o", "constraint_widened", "enum"), ("x[]", "collection_removed", ""), ("y[]", "collection_added", ""), ("y[].z[]", "collection_added", ""),
+]
+
 
+@query(f"SELECT * FROM ({bed._values(_EVERY_KIND)}) t(field_id, kind, detail)")
+def schema_diff_kinds(spark, d):
+    """Every kind of change, with an explicit rename."""
+    old = Schema("s", "1", (
+        FieldDefinition("a"), FieldDefinition("b", description="one  two"), FieldDefinition("c", recipe_ref="r@1"), FieldDefinition("d", constraints=Constraints(vocabulary_ref="V@1")), FieldDefinition("e", constraints=Constraints(enum=("p",), open_vocabulary=True)),
+        FieldDefinition("f", constraints=Constraints(max_length=3)), FieldDefinition("g"), FieldDefinition("h", constraints=Constraints(min_items=1)), FieldDefinition("x[].i", field_id="i"), FieldDefinition("k"), FieldDefinition("l"), FieldDefinition("n"), FieldDefinition("o", constraints=Constraints(enum=("p",))), FieldDefinition("same", description="one\ntwo"),
+    ))
+    new = Schema("s", "2", (
+        FieldDefinition("a", "integer"), FieldDefinition("b", description="one three"), FieldDefinition("c", recipe_ref="r@2"), FieldDefinition("d", constraints=Constraints(vocabulary_ref="V@2")), FieldDefinition("e", constraints=Constraints(enum=("p",))),
+        FieldDefinition("f", constraints=Constraints(max_length=9)), FieldDefinition("g", constraints=Constraints(pattern="x")), FieldDefinition("h", constraints=Constraints(min_items=2)), FieldDefinition("y[].z[].i", field_id="i"), FieldDefinition("kk", field_id="k2"), FieldDefinition("m"), FieldDefinition("n", multivalued=True, required=True), FieldDefinition("o", constraints=Constraints(enum=("p", "q"))), FieldDefinition("same", description="one two"),
+    ))
+    a, b = old.frame(spark), new.frame(spark)
+    return schema_ops.diff_fields(a, b, renames={"k": "k2"}).unionByName(schema_ops.diff_collections(a, b).select(F.col("collection").alias("field_id"), "kind", F.lit("").alias("detail")))
 
-@query(_SCHEMA + """SELECT coalesce(bool_and(kind NOT IN ('added', 'removed', 'renamed', 'nesting_changed', 'type_changed', 'cardinality_changed', 'requiredness_changed')), true) AS shape, coalesce(bool_and(kind NOT IN ('type_changed', 'cardinality_changed', 'constraint_narrowed', 'requiredness_changed', 'removed')), true) AS values,
- coalesce(bool_and(kind NOT IN ('description_changed', 'recipe_changed', 'vocabulary_changed', 'type_changed', 'cardinality_changed')), true) AS semantics FROM k WHERE kind IS NOT NULL""", "b_field")
+
+@query(_SCHEMA + """SELECT coalesce(bool_and(kind NOT IN ('added', 'removed', 'renamed', 'nesting_changed', 'type_changed', 'cardinality_changed', 'requiredness_changed')), true) AS shape, coalesce(bool_and(kind NOT IN ('type_changed', 'cardinality_changed', 'constraint_narrowed', 'removed')), true) AS values,
+ coalesce(bool_and(kind NOT IN ('description_changed', 'recipe_changed', 'vocabulary_changed', 'added', 'constraint_narrowed', 'constraint_widened')), true) AS semantics FROM k WHERE kind IS NOT NULL""", "b_field")
 def compat_verdicts(spark, d):
     return schema_ops.verdicts(schema_ops.diff_fields(bed.fields(spark, "order@1.0"), bed.fields(spark, "order@1.1")))
 
@@ -295,11 +363,20 @@ def migration_paths(spark, d):
     return schema_ops.migration_paths(spark, bed.edges(spark), "order@1.0", "order@2.0")
 
 
-@query(_WALK + "SELECT * FROM (SELECT 'fidelity' AS preference, path, hops FROM walk WHERE node = 'order@2.0' ORDER BY worst, semantic, hops, path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'cost', path, hops FROM walk WHERE node = 'order@2.0' ORDER BY semantic, worst, hops, path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'latency', path, hops FROM walk WHERE node = 'order@2.0' ORDER BY steps, hops, path LIMIT 1)", "b_edge", recursive=True)
+@query(_WALK + "SELECT * FROM (SELECT 'fidelity' AS preference, path, hops FROM walk WHERE node = 'order@2.0' ORDER BY worst, semantic, hops, path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'cost', path, hops FROM walk WHERE node = 'order@2.0' ORDER BY semantic, worst, hops, path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'latency', path, hops FROM walk WHERE node = 'order@2.0' ORDER BY steps, hops, path LIMIT 1) UNION ALL SELECT * FROM (SELECT 'hops', path, hops FROM walk WHERE node = 'order@2.0' ORDER BY hops, worst, semantic, path LIMIT 1)", "b_edge", recursive=True)
 def best_path(spark, d):
     paths = migration_paths(spark, d)
-    parts = [schema_ops.best_path(paths, p).select(F.lit(p).alias("preference"), "path", "hops") for p in ("fidelity", "cost", "latency")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [schema_ops.best_path(paths, p).select(F.lit(p).alias("preference"), "path", "hops") for p in ("fidelity", "cost", "latency", "hops")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("WITH RECURSIVE e AS (SELECT 'v' || range AS src, 'v' || range + 1 AS dst, 'm' || range AS id, range % 2 AS fidelity FROM range(20) UNION ALL SELECT 'v' || range, 'v' || range + 2, 'skip' || range, 2 FROM range(0, 20, 5)), walk(node, path, hops, worst) AS (SELECT dst, id, 1, fidelity FROM e WHERE src = 'v0' UNION ALL SELECT e.dst, w.path || '>' || e.id, w.hops + 1, greatest(w.worst, e.fidelity) FROM walk w JOIN e ON e.src = w.node) SELECT path, hops, worst::BIGINT AS worst FROM walk WHERE node = 'v20'")
+def long_paths(spark, d):
+    """Paths of up to twenty hops over a chain with shortcuts."""
+    chain = spark.range(20).select(F.col("id").alias("k"), F.lit(1).alias("by"), F.concat(F.lit("m"), "id").alias("migration_id"), (F.col("id") % 2).alias("fidelity"))
+    skips = spark.range(0, 20, 5).select(F.col("id").alias("k"), F.lit(2).alias("by"), F.concat(F.lit("skip"), "id").alias("migration_id"), F.lit(2).cast("long").alias("fidelity"))
+    edges = chain.unionByName(skips).select(F.concat(F.lit("v"), "k").alias("src"), F.concat(F.lit("v"), F.col("k") + F.col("by")).alias("dst"), "migration_id", "fidelity", F.lit(0).alias("semantic"), F.lit(1).alias("steps"))
+    return schema_ops.migration_paths(spark, edges, "v0", "v20").select("path", "hops", "worst")
 
 
 @query(_WALK + "SELECT node AS version, min(hops) AS hops FROM walk GROUP BY 1", "b_edge", recursive=True)
@@ -316,12 +393,21 @@ def _planned(spark, d):
     return planned.withColumn("step_key", F.concat_ws("|", "record_id", "step_id", "entity")).withColumn("required_reads", F.col("reads"))
 
 
+def _plannable(spark, d):
+    """(index, entities, steps): every step of STEPS from both versions; s1 copies, s2 derives, s3 asks, s4 lacks a read that it needs."""
+    index = bed.record(spark, d).select("record_id", "schema_ref")
+    entities = bed.entity(spark, d).select("record_id", "entity", F.lit("lines[]").alias("collection_path")).unionByName(index.select("record_id", F.lit("").alias("entity"), F.lit("").alias("collection_path")))
+    kinds = {"s1": "copy", "s2": "derive", "s3": "document_semantic", "s4": "derive"}
+    rows = [(ref, 0, int(s == "s2"), "m", s, kinds[s], scope, writes, reads, [r for r in reads if r == "missing_field"], {f"field_def:{w}": "h1" for w in writes}, "r@1" if s == "s3" else None, "order@2.0", True, 4.0, 250, True, ["status", "quantity", "returnflag", "priority"], {"s1": 0, "s2": 1, "s3": 0, "s4": 2}[s], "main" if s == "s3" else None, 0 if s == "s3" else None) for ref in ("order@1.0", "order@1.1") for s, scope, reads, writes in bed.STEPS]
+    return index, entities, spark.createDataFrame(rows, planning.STEP_ROW)
+
+
 _PLANNED = """+ pl AS (SELECT record_id, entity, step_id, reads, writes, record_id || '|' || step_id || '|' || entity AS step_key FROM (SELECT record_id, entity, 'lines[]' AS scope FROM b_entity WHERE position >= 0 UNION ALL SELECT record_id, '', '' FROM b_record) JOIN b_step USING (scope)) """
 
 
 @query(_PLANNED + "SELECT step_id, count(*) AS n, count(DISTINCT record_id) AS records FROM pl GROUP BY 1", "b_record", "b_entity", "b_step")
 def step_expansion(spark, d):
-    return _planned(spark, d).groupBy("step_id").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("records"))
+    return planning.expand(*_plannable(spark, d)).groupBy("step_id").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("records"))
 
 
 _READS = _PLANNED + """, rd AS (SELECT step_key, step_id, field_id, coalesce(c.status, r.status) AS status, CASE WHEN c.status IS NOT NULL THEN w.entity WHEN r.status IS NOT NULL THEN '' END AS found_at FROM (SELECT *, unnest(reads) AS field_id FROM pl) w
@@ -350,14 +436,67 @@ def plan_cost(spark, d):
     return each.groupBy("section").agg(F.count("*").alias("calls"), F.sum("t").alias("tokens_in"), F.round(F.sum("usd"), 6).alias("usd"))
 
 
-@query(_PLANNED + "SELECT CASE step_id WHEN 's4' THEN 'blocked' WHEN 's1' THEN 'reuse' ELSE 'deterministic' END AS disposition, count(*) AS steps, sum(len(writes))::BIGINT AS field_writes, count(DISTINCT record_id) AS records FROM pl GROUP BY 1", "b_record", "b_entity", "b_step")
+@query(_PLANNED + """, k AS (SELECT *, CAST(substring(record_id, 5) AS BIGINT) AS o FROM pl) SELECT CASE WHEN step_id = 's1' AND o % 2 = 0 OR step_id = 's3' AND o % 4 = 0 THEN 'reuse' WHEN step_id = 's4' THEN 'blocked' WHEN step_id = 's3' THEN 'semantic' ELSE 'deterministic' END AS disposition,
+ count(*) AS steps, sum(len(writes))::BIGINT AS field_writes, sum(CASE WHEN step_id = 's3' AND o % 4 <> 0 THEN 250 ELSE 0 END)::BIGINT AS tokens_out, count(DISTINCT record_id) AS records FROM k GROUP BY 1""", "b_record", "b_entity", "b_step")
 def plan_by_disposition(spark, d):
-    planned = _planned(spark, d)
-    cells = bed.cell(spark, d).withColumn("value_hash", F.col("value"))
-    missing = planning.missing_reads(planned, planning.read_cells(planned, cells)).select("step_key", F.lit(True).alias("lacks"))
-    out = planned.join(missing, "step_key", "left").withColumn("disposition", F.when(F.col("lacks"), "blocked").when(F.col("step_id") == "s1", "reuse").otherwise("deterministic"))
-    out = out.withColumns({"tokens_in": F.lit(0), "tokens_out": F.lit(0), "usd": F.lit(0.0)})
-    return planning.summary(out).select("disposition", "steps", "field_writes", "records")
+    """Of s1 every second value is current by its hashes; of s3 every fourth was accepted under the recipe that is asked for, as many under another."""
+    o = F.substring("record_id", 5, 20).cast("long")
+    flag = F.col("field_id") == "returnflag"
+    hashes = F.when(F.col("field_id") == "status", F.create_map(F.lit("field_def:status"), F.when(o % 2 == 0, "h1").otherwise("h0")))
+    cells = bed.cell(spark, d).withColumns({"value_hash": F.col("value"), "hashes": hashes, "accepted": flag & (o % 4 < 2), "recipe_ref": F.when(flag, F.when(o % 4 == 0, "r@1").otherwise("r@0"))})
+    return planning.summary(planning.plan(*_plannable(spark, d)[:2], cells, _plannable(spark, d)[2])).select("disposition", "steps", "field_writes", "tokens_out", "records")
+
+
+_TOTALS = _PLANNED + ", k AS (SELECT *, CAST(substring(record_id, 5) AS BIGINT) AS o FROM pl) "
+
+
+def _plan(spark, d):
+    o, flag = F.substring("record_id", 5, 20).cast("long"), F.col("field_id") == "returnflag"
+    cells = bed.cell(spark, d).withColumns({"value_hash": F.col("value"), "hashes": F.lit(None).cast("map<string,string>"), "accepted": flag & (o % 4 == 0), "recipe_ref": F.when(flag, "r@1")})
+    index, entities, steps = _plannable(spark, d)
+    return planning.plan(index, entities, cells, steps, prices=(3.0, 15.0))
+
+
+@query(_TOTALS + "SELECT count(DISTINCT record_id) AS n_records, count(*) AS n_steps, count(*) FILTER (step_id = 's3' AND o % 4 <> 0) AS calls, 0::BIGINT AS cached, round(count(*) FILTER (step_id = 's3' AND o % 4 <> 0) * 250 * 15.0 / 1e6, 6) AS usd, count(DISTINCT record_id) FILTER (step_id = 's3' AND o % 4 <> 0) AS touching_source, count(DISTINCT record_id) FILTER (step_id = 's4') AS blocked_records, 0::BIGINT AS tokens_in, count(*) FILTER (step_id = 's3' AND o % 4 <> 0) * 250 AS tokens_out, 0::BIGINT AS full_documents, 'destructive' AS worst_fidelity FROM k", "b_record", "b_entity", "b_step")
+def plan_totals(spark, d):
+    return planning.totals(_plan(spark, d))
+
+
+@query(_TOTALS + "SELECT 'main' AS model, count(*) AS calls FROM k WHERE step_id = 's3' AND o % 4 <> 0 HAVING count(*) > 0", "b_record", "b_entity", "b_step")
+def plan_models(spark, d):
+    return planning.models(_plan(spark, d))
+
+
+@query(_TOTALS + "SELECT 'missing_dependency' AS reason, count(*) AS steps FROM k WHERE step_id = 's4' HAVING count(*) > 0", "b_record", "b_entity", "b_step")
+def plan_blocked_reasons(spark, d):
+    return planning.blocked_reasons(_plan(spark, d))
+
+
+@query(_TOTALS + "SELECT record_id, count(*) FILTER (step_id IN ('s1', 's2') OR step_id = 's3' AND o % 4 <> 0) AS n FROM k GROUP BY 1", "b_record", "b_entity", "b_step")
+def plan_validation_steps(spark, d):
+    """One validation step a record, after all that runs."""
+    return planning.validation_steps(_plan(spark, d)).select("record_id", long(F.size("depends_on")).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('s1', 'structural', true, false, false, 'potentially_lossy', 'a', 'b', 'V@1', ''), ('s2', 'source_semantic', false, true, true, 'lossless', 'a', 'c', '', 'evidence:a,source:parsed'), ('s3', 'evidence_semantic', false, true, false, 'lossless', '', 'd', '', 'evidence:a'), ('s4', 'reextraction', false, true, true, 'destructive', '', 'e', '', ''), ('s5', 'vocabulary', true, false, false, 'lossless', 'a', 'a', '', ''), ('s6', 'validation', false, false, false, 'lossless', '', '', '', '')) t(step_id, kind, deterministic, semantic, touches_source, fidelity, reads, writes, vocabularies, refs)")
+def migration_file_steps(spark, d):
+    """A migration file, loaded, written and loaded again."""
+    found = load_migrations(dump_migrations(load_migrations(_FILE)))
+    rows = [(s.step_id, s.kind, s.deterministic, s.semantic, s.touches_source, s.fidelity, *(",".join(x) for x in (s.reads, s.writes, s.vocabularies, s.refs))) for m in found for s in m.steps]
+    return spark.createDataFrame(rows, "step_id string, kind string, deterministic boolean, semantic boolean, touches_source boolean, fidelity string, reads string, writes string, vocabularies string, refs string")
+
+
+@query("SELECT state, keys, count(*) AS n FROM (SELECT CASE WHEN k IN (0, 1) THEN 'accepted' WHEN k = 2 THEN 'no_provenance' WHEN k IN (3, 4) THEN 'stale' WHEN k = 5 THEN 'current' WHEN k = 6 THEN 'failed' ELSE 'review' END AS state, CASE WHEN k = 2 THEN 'field_def:f' WHEN k = 3 THEN 'field_def:f' WHEN k = 4 THEN 'recipe_ref' WHEN k IN (6, 7) THEN 'field_def:f' WHEN k IN (0, 1) THEN 'field_def:f' ELSE '' END AS keys FROM (SELECT doc_id % 8 AS k FROM documents)) GROUP BY ALL")
+def currency_states(spark, d):
+    """Every state of a cell but missing: accepted under the recipe or before there was one, accepted under another one and without provenance, stale by key and by recipe."""
+    k = F.col("doc_id") % 8
+    right, other = (F.create_map(F.lit("field_def:f"), F.lit(h)) for h in ("h1", "h0"))
+    hashes = F.when(k.isin(4, 5), right).when(k == 3, other)
+    cells = bed.table(spark, d, "documents").select(
+        F.when(k == 6, "extraction_failed").when(k == 7, "review_required").otherwise("not_extracted").alias("status"), k.isin(0, 1, 2).alias("accepted"), hashes.alias("hashes"), right.alias("expected"),
+        F.when(k.isin(2, 4), "r@0").when(k != 1, "r@1").alias("recipe_ref"), F.lit("r@1").alias("expected_recipe"),
+    )
+    return planning.currency(cells).groupBy("state", F.array_join("stale_keys", ",").alias("keys")).agg(F.count("*").alias("n"))
 
 
 # documents and context -----------------------------------------------------------------------------------------------------------------
@@ -384,10 +523,12 @@ def sentence_split(spark, d):
     return bed.unit(spark, d).select("source_id", "unit_id", long(F.size(s)).alias("n"), F.coalesce(F.get(s, F.lit(0)), F.lit("")).alias("first"))
 
 
-@query("""+ w AS (SELECT source_id, unit_id, ordinal, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM b_unit), pool AS (SELECT source_id, count(*) AS n, avg(len(t)) AS a FROM w GROUP BY 1),
+_BM25 = """+ w AS (SELECT source_id, unit_id, ordinal, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM b_unit), pool AS (SELECT source_id, count(*) AS n, avg(len(t)) AS a FROM w GROUP BY 1),
  tf AS (SELECT source_id, unit_id, ordinal, len(t) AS l, term, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM w) WHERE term IN ('the', 'of', 'and') GROUP BY ALL), df AS (SELECT source_id, term, count(*) AS df FROM tf GROUP BY ALL),
- sc AS (SELECT source_id, unit_id, ordinal, round(sum((CASE WHEN term = 'the' THEN 2 ELSE 1 END) * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 9) AS score FROM tf JOIN df USING (source_id, term) JOIN pool USING (source_id) GROUP BY ALL)
- SELECT source_id, unit_id, round(score, 6) AS score, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, ordinal) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 3""", "b_unit")
+ sc AS (SELECT source_id, unit_id, ordinal, round(sum((CASE WHEN term = 'the' THEN 2 ELSE 1 END) * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 9) AS score FROM tf JOIN df USING (source_id, term) JOIN pool USING (source_id) GROUP BY ALL) """
+
+
+@query(_BM25 + """SELECT source_id, unit_id, round(score, 6) AS score, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, ordinal) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 3""", "b_unit")
 def bm25_topk(spark, d):
     units = bed.unit(spark, d)
     asked = units.select("source_id").distinct().withColumn("query", F.lit("The of the and"))
@@ -431,6 +572,44 @@ def fallback_chain(spark, d):
     return context.resolve(_requests(spark, d), bed.unit(spark, d), policy)[1].select("request_id", "used")
 
 
+@query("SELECT record_id AS request_id, 'field:' || field_id || '@' || CASE WHEN entity = '' THEN 'root' ELSE entity END AS unit_id, field_id || ': ' || coalesce(value, '<no value>') || CASE WHEN status <> 'present' THEN '  [status=' || status || ']' ELSE '' END AS text, row_number() OVER (PARTITION BY record_id ORDER BY field_id, entity) AS ordinal FROM b_cell", "b_cell")
+def select_cells(spark, d):
+    cells = bed.cell(spark, d).select(F.col("record_id").alias("request_id"), "field_id", "entity", "status", F.col("value").alias("value_json"))
+    return context.SELECTORS["structured_fields"](None, None, {}, {"cells": cells}).select("request_id", "unit_id", "text", long("ordinal").alias("ordinal"))
+
+
+def _selected(spark, d, name, **params):
+    spans = bed.unit(spark, d).select(F.col("source_id").cast("string").alias("request_id"), "unit_id", F.lit(5).alias("start"), F.lit(25).alias("end"))
+    asked = _requests(spark, d).join(bed.table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), ids.text_hash_col(F.col("text")).alias("source_hash")), "source_id")
+    return context.SELECTORS[name](asked, bed.unit(spark, d), params, {"spans": spans})
+
+
+@query("SELECT CAST(source_id AS VARCHAR) AS request_id, unit_id || ':5-' || least(length(text), 25) AS unit_id, substring(text, 6, greatest(least(length(text), 25) - 5, 0)) AS text FROM b_unit", "b_unit")
+def select_evidence(spark, d):
+    return _selected(spark, d, "prior_evidence").select("request_id", "unit_id", "text")
+
+
+@query("SELECT CAST(source_id AS VARCHAR) AS request_id, unit_id || ':0-' || least(length(text), 35) AS unit_id, substring(text, 1, 35) AS text FROM b_unit", "b_unit")
+def select_window(spark, d):
+    return _selected(spark, d, "evidence_window", chars=10).select("request_id", "unit_id", "text")
+
+
+@query(_BM25 + "SELECT CAST(source_id AS VARCHAR) AS request_id, unit_id FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, ordinal) <= 3", "b_unit")
+def select_retrieved(spark, d):
+    return _selected(spark, d, "retrieve", query="The of the and", top_k=3).select("request_id", "unit_id")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS request_id, 'raw:' || doc_id || '@sha256:' || substring(sha256(text), 1, 16) AS unit_id, '' AS text FROM documents")
+def select_raw(spark, d):
+    return _selected(spark, d, "raw_document").select("request_id", "unit_id", "text")
+
+
+@query("SELECT CAST(source_id AS VARCHAR) AS request_id, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM b_unit GROUP BY 1", "b_unit")
+def select_whole(spark, d):
+    both = _selected(spark, d, "full_document").unionByName(_selected(spark, d, "none"))
+    return both.groupBy("request_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
 _SPAN = """+ sp AS (SELECT source_id, unit_id, CAST(5 AS INTEGER) AS s, CAST(25 AS INTEGER) AS e, text FROM b_unit) """
 
 
@@ -486,6 +665,12 @@ def reanchor_outcomes(spark, d):
     return documents.reanchor(*_reanchored(spark, d)).select("source_id", "span_id", "outcome")
 
 
+@query(_SENTENCES + "SELECT source_id, span_id AS reference_id, CAST(outcome <> 'lost' AS BIGINT) AS n_spans, CAST(outcome = 'lost' AS BIGINT) AS unlocated, outcome NOT IN ('unchanged', 'unverifiable') AS changed FROM o", "b_unit")
+def evidence_after(spark, d):
+    moved = documents.reanchor(*_reanchored(spark, d)).withColumn("reference_id", F.col("span_id"))
+    return documents.evidence_after(moved).select("source_id", "reference_id", "n_spans", "unlocated", "changed")
+
+
 @query(_SENTENCES + "SELECT outcome, count(*) AS n FROM o GROUP BY 1", "b_unit")
 def reanchor_totals(spark, d):
     return documents.outcome_totals(documents.reanchor(*_reanchored(spark, d)))
@@ -517,10 +702,18 @@ def occurrence_starts(spark, d):
     return out.select("doc_id", F.array_join(F.transform("s", lambda k: k.cast("string")), ",").alias("starts"))
 
 
-@query("SELECT lang, count(*) AS n, sum(CASE WHEN regexp_extract(text, 'password ?[=:] ?([a-z0-9]+)', 1) <> '' THEN 1 ELSE 0 END)::BIGINT AS with_value, count(DISTINCT nullif(regexp_extract(text, 'password ?[=:] ?([a-z0-9]+)', 1), '')) AS distinct_values FROM documents GROUP BY 1")
+@query("SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)password|token')) AS with_value, count(*) FILTER (regexp_matches(text, '(?i)password')) AS passwords FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def rule_extractor(spark, d):
-    v = F.regexp_extract("text", "password ?[=:] ?([a-z0-9]+)", 1)
-    return bed.table(spark, d, "documents").select("lang", v.alias("v")).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("v") != "").alias("with_value"), F.count_distinct(F.nullif("v", F.lit(""))).alias("distinct_values"))
+    """Answers of a rule-based adapter to one request a document."""
+    rule = calling.RuleBased(rules={"secret": [("password", "password"), ("token", "token")]})
+
+    def run(frames):
+        for frame in frames:
+            made = [rule.answer({"writes": ["secret"], "context": text})["secret"] for text in frame["text"]]
+            yield pd.DataFrame({"lang": frame["lang"], "value": [x.get("value") for x in made]})
+
+    answers = bed.table(spark, d, "documents").where("text IS NOT NULL").select("lang", "text").mapInPandas(run, "lang string, value string")
+    return answers.groupBy("lang").agg(F.count("*").alias("n"), F.count("value").alias("with_value"), F.count_if(F.col("value") == "password").alias("passwords"))
 
 
 # validation --------------------------------------------------------------------------------------------------------------------------
@@ -560,9 +753,12 @@ def validate_required(spark, d):
     return validation.missing_required(keep, root_only).select("record_id")
 
 
-@query("SELECT doc_id, regexp_matches(text, '^[A-Z]') AS ok FROM documents WHERE NOT regexp_matches(text, '^[A-Z]')")
+@query("SELECT doc_id, 'pattern' AS code FROM documents WHERE NOT regexp_matches(text, '^[A-Z]')")
 def validate_pattern(spark, d):
-    return bed.table(spark, d, "documents").select("doc_id", F.regexp("text", F.lit("^[A-Z]")).alias("ok")).where("NOT ok")
+    fields = Schema("doc", "1", (FieldDefinition("text", constraints=Constraints(pattern="^[A-Z]")),)).frame(spark)
+    as_json = F.to_json(F.array("text"))
+    cells = bed.table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("record_id"), F.lit("text").alias("field_id"), F.lit("").alias("entity"), F.lit("present").alias("status"), as_json.substr(F.lit(2), F.length(as_json) - 2).alias("value_json"))
+    return validation.faults(cells, fields).select(F.col("record_id").alias("doc_id"), "code")
 
 
 @query("SELECT record_id, CASE max(CASE WHEN l_quantity > 45 THEN 2 WHEN l_quantity > 30 THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'review' ELSE 'pass' END AS outcome FROM b_entity WHERE position >= 0 GROUP BY 1", "b_entity")
@@ -571,6 +767,13 @@ def validate_worst(spark, d):
     return validation.worst(e, ["record_id"])
 
 
+@query("SELECT validator, outcome, count(*) AS n FROM (SELECT unnest(['honest', 'short']) AS validator, unnest([CASE WHEN status NOT IN ('present', 'review_required') AND (value IS NOT NULL OR status = 'not_reported') THEN 'review' ELSE 'pass' END, CASE WHEN length(value) > 5 THEN 'fail' ELSE 'pass' END]) AS outcome FROM b_cell) GROUP BY ALL", "b_cell")
+def validators_run(spark, d):
+    cells = bed.cell(spark, d).withColumn("reason", F.lit(None).cast("string"))
+    ran = validation.run_validators(cells, {"honest": validation.honest_abstention(), "short": F.length("value") <= 5})
+    return ran.groupBy("validator", "outcome").agg(F.count("*").alias("n"))
+
+
 def _evidence_cells(spark, d):
     units = bed.unit(spark, d).groupBy("source_id").agg(F.collect_list("text").alias("texts"))
     return bed.table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.lit("present").alias("status"), F.concat(F.lit("THE "), F.substring("text", 1, 3)).alias("value"), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("n_spans")).join(units, "source_id", "left")
@@ -601,7 +804,7 @@ def _step_states(spark, d):
 
 
 _STATES = """+ st AS (SELECT record_id, record_id || '|' || entity AS step_key, CASE WHEN l_returnflag = 'A' THEN 'succeeded' WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 48 THEN 'review_needed' WHEN l_quantity > 49 THEN 'failed' ELSE 'succeeded' END AS state, l_extendedprice FROM b_entity WHERE position >= 0),
- dc AS (SELECT record_id, CASE WHEN bool_or(state <> 'succeeded') THEN 'hold' ELSE 'publish' END AS decision, CASE WHEN NOT bool_or(state <> 'succeeded') THEN 'published' WHEN NOT bool_or(state = 'failed') THEN 'review_needed' ELSE 'failed' END AS version_state FROM st GROUP BY 1) """
+ dc AS (SELECT record_id, CASE WHEN bool_or(state <> 'succeeded') THEN 'hold' ELSE 'publish' END AS decision, CASE WHEN NOT bool_or(state <> 'succeeded') THEN 'published' WHEN bool_or(state = 'review_needed') THEN 'review_needed' ELSE 'failed' END AS version_state FROM st GROUP BY 1) """
 
 
 @query(_STATES + "SELECT * FROM dc", "b_entity")
@@ -609,11 +812,17 @@ def publish_or_hold(spark, d):
     return running.publish_or_hold(_step_states(spark, d))
 
 
-@query(_STATES + "SELECT count(*) AS records, count(*) FILTER (decision = 'publish') AS published, CASE WHEN bool_and(decision = 'publish') THEN 'succeeded' WHEN bool_or(decision = 'publish') OR bool_and(version_state = 'review_needed') THEN 'partial' ELSE 'failed' END AS status FROM dc", "b_entity")
+@query(_STATES + "SELECT count(*) AS records, count(*) FILTER (decision = 'publish') AS published, CASE WHEN bool_and(decision = 'publish') THEN 'succeeded' ELSE 'partial' END AS status FROM dc", "b_entity")
 def run_status(spark, d):
     return running.run_status(running.publish_or_hold(_step_states(spark, d)))
 
 
+@query(_STATES + "SELECT count(*) AS records, 0::BIGINT AS published, CASE WHEN count(*) = 0 THEN 'succeeded' ELSE 'partial' END AS status FROM dc WHERE decision = 'hold'", "b_entity")
+def run_status_held(spark, d):
+    """A run of which every record is held."""
+    return running.run_status(running.publish_or_hold(_step_states(spark, d)).where("decision = 'hold'"))
+
+
 @query(_STATES + "SELECT state, count(*) AS n FROM st GROUP BY 1", "b_entity")
 def step_state_histogram(spark, d):
     return running.state_histogram(_step_states(spark, d))
@@ -692,9 +901,28 @@ def gold_scores(spark, d):
     return evaluation.scores(_compared(spark, d)).select("field_id", "n", "true_positive", "wrong_value", "missed", "spurious", "true_negative", "supported", "with_value")
 
 
-@query(_GOLD + "SELECT field_id, round(tp / (tp + wrong + spurious), 4) AS precision, round(tp / (tp + wrong + missed), 4) AS recall, round(2 * tp / (2 * tp + 2 * wrong + spurious + missed), 4) AS f1, round((missed + tn) / n, 4) AS abstention, round(supported / with_value, 4) AS support FROM s", "b_gold")
+@query(_GOLD + "SELECT field_id, round(tp / (tp + wrong + spurious), 4) AS precision, round(tp / (tp + wrong + missed), 4) AS recall, round(2 * tp / (2 * tp + 2 * wrong + spurious + missed), 4) AS f1, round((missed + tn) / n, 4) AS abstention_rate, round(supported / with_value, 4) AS evidence_support FROM s", "b_gold")
 def gold_f1(spark, d):
-    return evaluation.scores(_compared(spark, d)).select("field_id", "precision", "recall", "f1", "abstention", "support")
+    return evaluation.scores(_compared(spark, d)).select("field_id", "precision", "recall", "f1", "abstention_rate", "evidence_support")
+
+
+@query("WITH t AS (SELECT field_id, n_chars % 3 = 0 AS none FROM (SELECT unnest(['quality', 'toxic']) AS field_id, n_chars FROM labels JOIN documents USING (doc_id))) SELECT field_id, 0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, CAST(NULL AS DOUBLE) AS f1, count(*) FILTER (NOT none) AS wrong_value FROM t GROUP BY 1")
+def gold_without_hits(spark, d):
+    """No value is right: precision and recall are 0, f1 has none."""
+    g = bed.gold(spark, d).select("record_id", "field_id", "entity", F.when(F.col("n_chars") % 3 == 0, "not_reported").otherwise("present").alias("status"), F.when(F.col("n_chars") % 3 != 0, "right").alias("value"))
+    produced = g.select("record_id", "field_id", "entity", "status", F.when(F.col("value").isNotNull(), "wrong").alias("value"), F.lit(0).alias("n_spans"))
+    return evaluation.scores(evaluation.compare(g, produced)).select("field_id", "precision", "recall", "f1", "wrong_value")
+
+
+@query("SELECT 'tags' AS field_id, count(*) AS n, count(*) FILTER (doc_id % 3 <> 2) AS true_positive, count(*) FILTER (doc_id % 3 = 2) AS wrong_value FROM documents")
+def gold_lists(spark, d):
+    """Lists match in any order; every third lacks an item."""
+    docs = bed.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.lit("tags").alias("field_id"), F.lit("").alias("entity"), F.lit("present").alias("status"), "lang", "doc_id")
+    of = lambda *cols: F.to_json(F.array(*cols))
+    a, b = F.col("lang"), F.col("doc_id").cast("string")
+    gold = docs.select("record_id", "field_id", "entity", "status", of(a, b).alias("value"))
+    made = docs.select("record_id", "field_id", "entity", "status", F.when(F.col("doc_id") % 3 == 0, of(a, b)).when(F.col("doc_id") % 3 == 1, of(b, a)).otherwise(of(a)).alias("value"))
+    return evaluation.scores(evaluation.compare(gold, made)).select("field_id", "n", "true_positive", "wrong_value")
 
 
 @query(_GOLD + ", m AS (SELECT round(tp / (tp + wrong + spurious), 4) AS p, round(tp / (tp + wrong + missed), 4) AS r, field_id FROM s) SELECT 'precision>=0.5' AS gate, min(p) AS value, min(p) >= 0.5 AS passed FROM m UNION ALL SELECT 'recall:quality>=0.2', min(r), min(r) >= 0.2 FROM m WHERE field_id = 'quality' UNION ALL SELECT 'recall<=0.9', max(r), max(r) <= 0.9 FROM m UNION ALL SELECT 'review_rate<=0.1', 0.25, false", "b_gold")
@@ -702,17 +930,30 @@ def gate_results(spark, d):
     return evaluation.gate_results(evaluation.scores(_compared(spark, d)), ["precision>=0.5", "recall:quality>=0.2", "recall<=0.9", "review_rate<=0.1"], {"review_rate": 0.25})
 
 
+@query("SELECT record_id, entity, 'quantity' AS field_id, 'many' AS reason, 'open' AS state, CAST(l_quantity AS VARCHAR) AS old_value FROM b_entity WHERE l_quantity > 48", "b_entity")
+def review_items_open(spark, d):
+    """Asked twice for the same, and once for the other: one item each."""
+    steps = bed.entity(spark, d).where("l_quantity > 48").select("record_id", "entity", F.lit("quantity").alias("field_id"), F.lit("many").alias("reason"), F.col("l_quantity").cast("string").alias("old_value"), F.lit(None).cast("string").alias("proposed_value"), F.lit("t").alias("created_at"))
+    return review.open_items(steps.unionByName(steps)).select("record_id", "entity", "field_id", "reason", "state", "old_value")
+
+
+@query("SELECT record_id, count(*) AS n FROM b_entity WHERE position >= 0 GROUP BY 1", "b_entity")
+def step_dependencies(spark, d):
+    """s2, of every line, reads what s1 writes at the root."""
+    found = planning.depends_on(planning.expand(*_plannable(spark, d)))
+    return found.where(F.size("depends_on") == 1).groupBy(F.split_part("step_key", F.lit("|"), F.lit(1)).alias("record_id")).agg(F.count("*").alias("n"))
+
+
 # export, functions ---------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT record_id, len(p) AS n, 'sha256:' || substring(sha256(array_to_string(p, ',')), 1, 16) AS lines FROM (SELECT record_id, list_sort(list(field_id || '@' || entity || '=' || value)) AS p FROM b_cell WHERE status = 'present' GROUP BY 1)", "b_cell")
+@query("SELECT record_id, o_orderstatus AS status, len(p) AS n, 'sha256:' || substring(sha256(array_to_string(p, ',')), 1, 16) AS lines FROM (SELECT record_id, list_sort(list(field_id || '@' || entity || '=' || status)) AS p FROM b_cell GROUP BY 1) JOIN b_record USING (record_id)", "b_cell", "b_record")
 def export_lines(spark, d):
-    present = bed.cell(spark, d).where("status = 'present'")
-    line = F.array_sort(F.collect_list(F.struct("field_id", "entity", "value")))
-    exported = present.groupBy("record_id").agg(F.to_json(F.struct("record_id", line.alias("provenance"))).alias("line"))
-    back = exported.select(F.from_json("line", "record_id string, provenance array<struct<field_id:string,entity:string,value:string>>").alias("x")).select("x.*")
-    parts = F.array_sort(F.transform("provenance", lambda p: F.concat(p["field_id"], F.lit("@"), p["entity"], F.lit("="), p["value"])))
-    return back.select("record_id", long(F.size("provenance")).alias("n"), ids.text_hash_col(F.array_join(parts, ",")).alias("lines"))
+    """The lines that a store exports, read back."""
+    lines = jsonl.export_lines(bed.order_json(spark, d), bed.cell(spark, d))
+    back = lines.select(F.from_json("value", "record_id string, record struct<status: string>, provenance array<struct<field_id: string, entity: string, status: string>>").alias("x")).select("x.*")
+    parts = F.array_sort(F.transform("provenance", lambda p: F.concat(p["field_id"], F.lit("@"), p["entity"], F.lit("="), p["status"])))
+    return back.select("record_id", "record.status", long(F.size("provenance")).alias("n"), ids.text_hash_col(F.array_join(parts, ",")).alias("lines"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, 'sha256:' || substring(sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 16) AS hash FROM documents")
@@ -725,13 +966,12 @@ def version_refs(spark, d):
     return bed.record(spark, d).select("schema_ref").distinct().select("schema_ref", ids.ref_name_col(F.col("schema_ref")).alias("name"), ids.ref_version_col(F.col("schema_ref")).alias("version"))
 
 
-@query("SELECT record_id, count(*) AS n, list_sort(list(DISTINCT field_id))[1] AS first_field FROM b_cell WHERE status IN ('present', 'review_required') GROUP BY 1", "b_cell")
+@query("SELECT record_id, count(DISTINCT field_id) AS n, list_sort(list(DISTINCT field_id))[1] AS first_field FROM b_cell WHERE status IN ('present', 'review_required') GROUP BY 1", "b_cell")
 def distinct_field_sets(spark, d):
-    c = bed.cell(spark, d).where(has_value(F.col("status")))
-    return c.groupBy("record_id").agg(F.count("*").alias("n"), F.get(F.array_sort(F.collect_set("field_id")), F.lit(0)).alias("first_field"))
+    return artifacts.filled_fields(bed.cell(spark, d), ["record_id"]).select("record_id", long(F.size("fields")).alias("n"), F.get("fields", F.lit(0)).alias("first_field"))
 
 
 # whole runs ----------------------------------------------------------------------------------------------------------------------------
 
 QUERIES |= {"run_end_to_end": runs.run_end_to_end, "escalation_waves": runs.escalation_waves, "shadow_agreement": runs.shadow_agreement}
-ORACLE |= {"run_end_to_end": runs.RUN_SQL, "shadow_agreement": runs.SHADOW_SQL}
+ORACLE |= {"run_end_to_end": runs.RUN_SQL, "escalation_waves": runs.WAVES_SQL, "shadow_agreement": runs.SHADOW_SQL}

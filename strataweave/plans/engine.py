@@ -22,7 +22,7 @@ from strataweave.functions import registry as functions
 from strataweave.functions.ids import content_hash, content_hash_col, now, text_hash_col
 from strataweave.functions.status import has_value
 from strataweave.model.migration import ExecutionPolicy, Step
-from strataweave.model.recipe import ContextPolicy, Recipe
+from strataweave.model.recipe import ContextPolicy, Recipe, policy_from
 from strataweave.model.registry import Registry
 from strataweave.operators import calling, context, documents, planning, review, running, validation
 from strataweave.operators.artifacts import resume_remaining
@@ -73,7 +73,15 @@ class Plan:
         return planning.totals(self.steps).first().asDict()
 
     def render(self) -> str:
-        return planning.render(self.summary(), self.totals())
+        counts = lambda df: {r[0]: r[1] for r in df.collect()}  # noqa: E731  a row a model or reason
+        return planning.render(self.summary(), self.totals(), counts(planning.models(self.steps)), counts(planning.blocked_reasons(self.steps)) | self.blocked_versions(), self.stale.count(), f"plan {self.plan_id} to {self.target}")
+
+    def blocked_versions(self) -> dict[str, int]:
+        """Records of versions that can't be planned, by reason."""
+        out: dict[str, int] = {}
+        for r in self.index.where(F.col("schema_ref").isin(*self.blocked)).groupBy("schema_ref").count().collect() if self.blocked else ():
+            out[self.blocked[r[0]]] = out.get(self.blocked[r[0]], 0) + r[1]
+        return out
 
 
 @dataclass(frozen=True)
@@ -134,10 +142,11 @@ class Engine:
 
     # what is there
 
-    def index(self, where: Column | None = None, record_ids: list[str] | None = None) -> DataFrame:
+    def index(self, where: Column | None = None, record_ids: list[str] | DataFrame | None = None) -> DataFrame:
         out = self.store.read("record_index")
         if record_ids is not None:
-            out = out.join(self.spark.createDataFrame([(r,) for r in record_ids], "record_id string"), "record_id", "left_semi")
+            ids = record_ids if isinstance(record_ids, DataFrame) else self.spark.createDataFrame([(r,) for r in record_ids], "record_id string")
+            out = out.join(ids, "record_id", "left_semi")
         return out if where is None else out.where(where)
 
     def _entities(self, index: DataFrame) -> DataFrame:
@@ -151,11 +160,8 @@ class Engine:
     # context
 
     def _policy(self, step: Step, recipe: Recipe) -> ContextPolicy:
-        if not step.context:
-            return recipe.context
-        from strataweave.model.recipe import _policy
-
-        return _policy(dict(step.context))
+        own = policy_from(dict(step.context)) if step.context else recipe.context
+        return replace(own, on_missing=step.on_missing_context) if step.on_missing_context else own
 
     def _contexts(self, planned: DataFrame, cells: DataFrame, units: DataFrame, index: DataFrame, policy: ExecutionPolicy, declared: list[tuple[str, Step]], start_at: int = 0) -> tuple[DataFrame, DataFrame] | None:
         """(units chosen for each step, one row a step with satisfied, used, n_chars, context_hash); None where no step asks a model."""
@@ -218,7 +224,7 @@ class Engine:
 
     # plan
 
-    def plan(self, target: str, where: Column | None = None, record_ids: list[str] | None = None, policy: ExecutionPolicy | None = None, on_stale: str = "report") -> Plan:
+    def plan(self, target: str, where: Column | None = None, record_ids: list[str] | DataFrame | None = None, policy: ExecutionPolicy | None = None, on_stale: str = "report") -> Plan:
         """A dry run: one row a step and entity, with what would be done. Records that can't be planned are in blocked, by version with the reason."""
         policy = policy or ExecutionPolicy()
         self.registry.schema(target)

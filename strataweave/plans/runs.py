@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.errors import EngineError
 from strataweave.functions.registry import register
 from strataweave.model.migration import ExecutionPolicy, Migration, Step
 from strataweave.model.recipe import ContextPolicy, Escalation, Recipe, Source
@@ -45,7 +46,11 @@ def _registry(context: ContextPolicy, escalation: Escalation) -> Registry:
 def _project(spark: SparkSession, d: str, context: ContextPolicy = WHOLE, escalation: Escalation = Escalation(), **more) -> Project:
     more_wanted = {"mentions": {"status": "needs_more_context"}} if escalation.enabled else {}
     adapters = {"rules1": RuleBased(rules={"mentions": [("password", "secret"), ("token", "secret")]}, otherwise=more_wanted), "rules2": RuleBased(rules={"mentions": [("password", "secret")]}, otherwise=more_wanted)}
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strataweave-run-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise EngineError("config_invalid", "spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="strataweave-run-")
     p = Project(spark, f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}", _registry(context, escalation), adapters, **more)
     docs = bed.table(spark, d, "documents")
     section = lambda i: F.when(i == 0, "title").when(i == 1, "abstract").otherwise("body")
@@ -78,6 +83,12 @@ def escalation_waves(spark: SparkSession, d: str) -> DataFrame:
     return p.store.read("attempt").where("kind = 'call'").groupBy("level").agg(F.count("*").alias("calls"))
 
 
+WAVES_SQL = """WITH l AS (SELECT * FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) WHERE t <> ''),
+  s AS (SELECT doc_id, i AS k, regexp_matches(t, 'password|token', 'i') AS hit FROM l WHERE i < 2 UNION ALL SELECT doc_id, 2, bool_or(regexp_matches(t, 'password|token', 'i')) FROM l GROUP BY 1),
+  r AS (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS level, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+  SELECT level, count(*) AS calls FROM r WHERE NOT coalesce(before, false) GROUP BY 1"""
+
+
 def shadow_agreement(spark: SparkSession, d: str) -> DataFrame:
     """How often another recipe, asked beside the first, says the same."""
     p = _project(spark, d, shadow={"mentions@1": "mentions@2"})

@@ -196,7 +196,7 @@ class Project:
         return diffing.diff_records(side(by_rank.get(2)), side(by_rank.get(1)))
 
     def _side(self, versions: DataFrame) -> DataFrame:
-        return self.store.version_cells(versions).select(*KEYS, "status", F.col("value_json").alias("value"), F.coalesce(F.size("evidence"), F.lit(0)).alias("n_spans"))
+        return self.store.version_cells(versions).select(*KEYS, "status", F.col("value_json").alias("value"), "evidence")
 
     def report(self, execution_id: str) -> dict:
         """What a run changed: deltas by kind and field, coverage, rates."""
@@ -281,7 +281,7 @@ class Project:
 
     def evaluate(self, gold: DataFrame, target: str, policy: ExecutionPolicy | None = None, gates: list[str] | None = None) -> dict:
         """Run the migration on the gold records, score what it made, check the gates."""
-        ids = [r[0] for r in gold.select("record_id").distinct().collect()]  # a gold sample is small by nature
+        ids = gold.select("record_id").distinct()
         index = self.engine.index(record_ids=ids)
         look = lambda: self.store.latest_cells(index).select(*KEYS, "status", F.col("value_json").alias("value"), F.coalesce(F.size("evidence"), F.lit(0)).alias("n_spans"))
         plan = self.plan(target, record_ids=ids, policy=policy)
@@ -295,7 +295,7 @@ class Project:
         steps = self.store.read("execution_step").where(F.col("execution_id") == result.execution_id)
         count = {r["state"]: r["n"] for r in running.state_histogram(steps).collect()}
         n = max(1, result.records)
-        corpus = {"cost": float(result.metrics["spent"].get("usd") or 0), "review_rate": count.get("review_needed", 0) / n, "blocked_rate": count.get("blocked", 0) / n}
+        corpus = {"cost_usd": float(result.metrics["spent"].get("usd") or 0), "review_rate": count.get("review_needed", 0) / n, "blocked_rate": count.get("blocked", 0) / n}
         checked = [r.asDict() for r in evaluation.gate_results(scored, gates, corpus).collect()] if gates else []
         return {"scores": {r["field_id"]: r.asDict() for r in scored.collect()}, "corpus": corpus, "gates": checked, "passed": all(g["passed"] for g in checked), "execution_id": result.execution_id}
 

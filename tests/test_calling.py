@@ -108,3 +108,18 @@ def test_answers_may_carry_their_own_counts():
 
     got = call(Counted(usd_in=1e6, usd_out=0)).answer(ROW, Limiter(None))
     assert (got["tokens_in"], got["tokens_out"], got["usd"], got["fingerprint"]) == (7, 8, 7.0, "f")
+
+
+def test_failures_of_a_hosted_model():
+    inner = RuleBased(rules={"x": [("a", "b")]})
+    ask = lambda adapter, **more: adapter.generate({"step_key": "s", "attempt": 1, "writes": ["x"], "context": "a", "prompt": "p" * 400, "record_id": "r", "step_id": "t"} | more)
+    for adapter, more, code in (
+        (Seeded(inner=inner, rate_limited=1.0), {}, "rate_limited"), (Seeded(inner=inner, rate=1.0), {}, "transport"), (Seeded(inner=inner, max_input_tokens=50), {}, "context_unsupported"),
+        (Seeded(inner=inner, accepts_binary=False), {"binary": True}, "context_unsupported"),
+    ):
+        with pytest.raises(EngineError) as e:
+            ask(adapter, **more)
+        assert e.value.code == code
+    assert ask(Seeded(inner=inner, garbled=1.0)).output == {"__garbled__": True} and ask(Seeded(inner=inner, max_input_tokens=200, accepts_binary=False)).output["x"]["value"] == "b"
+    kept = [ask(Seeded(inner=inner, garbled=0.5), step_key=str(k)).output for k in range(200)]
+    assert 60 < sum("x" in k for k in kept) < 140 and kept == [ask(Seeded(inner=inner, garbled=0.5), step_key=str(k)).output for k in range(200)]

@@ -43,7 +43,7 @@ def test_workflow(spark, tmp_path, capsys):
     assert done["published"] == 2 and go("status", done["execution_id"])["status"] == "succeeded"
     assert go("record", "x", wrapped=False) == {"a": "1", "b": "2", "c": "1"}
     assert [r["kind"] for r in go("diff", "x")] == ["added"] and go("report", done["execution_id"])["by_kind"]["added"] == 2
-    assert len(go("provenance", "show", "x", "c")) == 1 and go("currency")["current"] == 5
+    assert len(go("provenance", "show", "x", "c")) == 1 and go("currency")["current"] == 6
     go("export", str(tmp_path / "out"), wrapped=False)
     go("review", "export", str(tmp_path / "rev"))
     assert go("review", "list") == []

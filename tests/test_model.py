@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from strataweave.errors import CODES, EngineError
 from strataweave.model import codec
-from strataweave.model.migration import ExecutionPolicy, Migration, Step, dump_migrations, load_migrations, scaffold
-from strataweave.model.recipe import ContextPolicy, Escalation, Source, load_recipes
+from strataweave.model.migration import ExecutionPolicy, Migration, Step, dump_migrations, load_migrations, parse_ref, scaffold
+from strataweave.model.recipe import ContextPolicy, Escalation, Source, load_recipes, policy_from
 from strataweave.model.registry import Registry
 from strataweave.model.schema import Collection, Constraints, FieldDefinition, Schema, diff_schemas
 
@@ -62,7 +62,7 @@ def test_constraints(old, new, kind):
 
 def test_verdicts_and_candidates():
     d = diff_schemas(schema("1", F("given_name")), schema("2", F("given_names"), F("other")))
-    assert d.verdicts() == {"shape": False, "values": False, "semantics": True}
+    assert d.verdicts() == {"shape": False, "values": False, "semantics": False}
     assert [c[:2] for c in d.candidates] == [("given_name", "given_names")]
 
 
@@ -176,3 +176,57 @@ def test_errors_have_known_codes():
     assert len(CODES) >= 35
     with pytest.raises(ValueError):
         EngineError("no such code")
+
+
+def test_migration_files():
+    text = """
+id: m
+from_schema: a@1
+to_schema: a@2
+description: why
+acknowledged: {x: gone}
+is_downgrade: true
+steps:
+- {id: s1, kind: structural, reads: ["field:a", "vocab:V@1"], writes: ["field:b"], transform: t@1, fidelity: potentially_lossy}
+- {id: s2, kind: source_semantic, reads: ["evidence:a", "source:parsed"], writes: [c], recipe: r@1, entity_scope: "g[]", context: {sequence: [prior_evidence, {sections: [methods]}], full_document_fallback: forbidden}, on_missing_context: block}
+- {id: s3, kind: evidence_semantic, writes: ["field:d"], recipe: r@1}
+"""
+    (m,) = load_migrations(text)
+    assert load_migrations(dump_migrations([m])) == [m] and m.direction == "downgrade" and m.because == {"x": "gone"} and m.acknowledged == ("x",)
+    one, two, three = m.steps
+    assert (one.reads, one.vocabularies, one.writes, one.fidelity, one.deterministic) == (("a",), ("V@1",), ("b",), "potentially_lossy", True)
+    assert (two.refs, two.scope, two.touches_source, three.touches_source, three.semantic) == (("evidence:a", "source:parsed"), "g[]", True, False, True)
+    assert policy_from(dict(two.context)).sequence[1] == Source("sections", {"names": ["methods"]})
+    own = Migration("n", "a@1", "a@2", (Step("c", "copy", ("x",), ("y",)), Step("d", "default", (), ("z",), params={"value": 1}), Step("e", "derive", ("x",), ("w",), transform="t@1")))
+    (back,) = load_migrations(dump_migrations([own], portable=True))
+    assert "structural" in dump_migrations([own], portable=True) and [s.kind for s in back.steps] == ["copy", "default", "derived"] and back.steps[0] == own.steps[0]
+    for bad in ("fields:a", "field:", "a"):
+        with pytest.raises(EngineError):
+            parse_ref(bad)
+    assert parse_ref("vocab:V@1") == ("vocab", "V@1")
+    for more in ({"kind": "structural"}, {"kind": "reextraction"}, {"kind": "evidence_semantic", "context": {"full_document_fallback": "allowed"}}):
+        with pytest.raises(EngineError):
+            Step("s", writes=("x",), **more)
+
+
+def test_policy_goes_by_the_worst_step():
+    steps = (Step("s", "copy", ("x",), ("y",), fidelity="lossy"), Step("t", "copy", ("x",), ("z",), fidelity="destructive"))
+    m = Migration("m", "a@1", "a@2", steps)
+    assert ExecutionPolicy(allow_destructive=True, destructive_named=("m",)).permits(m)
+    assert not ExecutionPolicy(allow_lossy=True, allow_destructive=True, destructive_named=("t",)).permits(m)
+
+
+def test_long_paths_and_equal_hops():
+    r = graph(*((str(k), str(k + 1), "lossless", False) for k in range(20)), ("0", "20a", "lossless", True), ("20a", "20", "lossless", True))
+    assert len(r.path("g@0", "g@20")) in (2, 20) and max(len(p) for p in r.paths("g@0", "g@20")) == 20
+    r = graph(("1", "2", "lossy", False), ("2", "4", "lossless", False), ("1", "3", "lossless", False), ("3", "4", "lossless", True))
+    assert [m.migration_id for m in r.path("g@1", "g@4", "hops")] == ["e2", "e3"]
+
+
+def test_compatibility_of_an_added_field():
+    a, b = Schema("g", "1", (F("a"),)), Schema("g", "2", (F("a"), F("b")))
+    assert diff_schemas(a, b).verdicts() == {"shape": False, "values": True, "semantics": False}
+    c = Schema("g", "3", (F("a", required=True),))
+    assert diff_schemas(a, c).verdicts() == {"shape": False, "values": True, "semantics": True}
+    narrow = [Schema("g", str(k), (F("a", constraints=Constraints(maximum=x)),)) for k, x in enumerate((9.0, 5.0))]
+    assert diff_schemas(*narrow).verdicts() == {"shape": True, "values": False, "semantics": False}

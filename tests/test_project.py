@@ -159,10 +159,10 @@ def test_evaluation_and_reanchoring(spark, tmp_path):
     gold = spark.createDataFrame(cues, "record_id string, field_id string, entity string, status string, value string, also array<string>, note string")
     r = p.registry.recipes["cue@1"]
     p.registry.recipes["cue@1"] = replace(r, context=ContextPolicy((Source("sections", {"names": ["methods"]}), Source("sections", {"names": ["abstract"]}))))
-    out = p.evaluate(gold, "trial@1.1", gates=["precision>=0.9", "recall>=0.9", "cost<=1"])
+    out = p.evaluate(gold, "trial@1.1", gates=["precision>=0.9", "recall>=0.9", "cost_usd<=1"])
     score = out["scores"]["tasks[].cue"]
     assert (score["n"], score["true_positive"], score["missed"]) == (4, 3, 1) and score["precision"] == 1.0 and score["recall"] == 0.75  # rep:0 has no methods
-    assert {g["gate"]: g["passed"] for g in out["gates"]} == {"precision>=0.9": True, "recall>=0.9": False, "cost<=1": True} and not out["passed"]
+    assert {g["gate"]: g["passed"] for g in out["gates"]} == {"precision>=0.9": True, "recall>=0.9": False, "cost_usd<=1": True} and not out["passed"]
     assert p.store.current().where("schema_ref = 'trial@1.1'").count() == 4
 
     # a new parse: everything in one unit, one abstract lost
