@@ -11,7 +11,7 @@ Documents are read once for each block of items and never shuffled; a block's in
 
 Words: lower-cased, all but letters and digits removed, cut at white space. Items of fewer than `width` words have one shingle, all their
 words, sought as a run of that length. Defined results: null or wordless items match nothing; null or wordless documents match nothing;
-repeated rows match each; null ids are returned as null; extra columns are not read; an empty side gives no rows."""
+repeated documents match each, an item repeated with one id and text counts once; null ids are returned as null; extra columns are not read; an empty side gives no rows."""
 
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from strataweave.llm.common import normal_words, run_hashes, steps, table, text_column, word_hashes
 
@@ -112,19 +114,22 @@ def _filter(values: np.ndarray) -> np.ndarray:
 
 def _blocks(docs: DataFrame, items: DataFrame, width: int, threshold: float, item_id: str, text_col: str, index_shingles: int) -> Iterator[Broadcast]:
     """The index of each block of items, broadcast; a block holds index_shingles shingles or few more."""
-    own = items.select(F.col(item_id).alias("id"), text_column(items, text_col).alias("text"))
+    own = items.select(F.col(item_id).alias("id"), text_column(items, text_col).alias("text")).distinct()
     # an item has fewer shingles than half its characters
     blocks = max(1, math.ceil((own.agg(F.sum(F.length("text") / 2).cast("long")).first()[0] or 0) / index_shingles))
     for block in range(blocks):
-        rows = own.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+        rows = own.where(F.pmod(F.xxhash64("text", "id"), F.lit(blocks)) == block).collect()
         yield docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows], width, threshold))
 
 
+_COUNTS = (StructField("n_shingles", IntegerType()), StructField("n_shared", IntegerType()), StructField("containment", DoubleType()))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", index_shingles: int = INDEX_SHINGLES) -> DataFrame:
     """One row for each document and item that it contains: doc_id, item_id, n_shingles, n_shared, containment."""
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("id"), text_column(docs, text_col).alias("text"))
-    schema = _arrow(kinds)
+    schema = to_arrow_schema(StructType([StructField("doc_id", docs.schema[doc_id].dataType), StructField("item_id", items.schema[item_id].dataType), *_COUNTS]))
     out = None
     for index in _blocks(docs, items, width, threshold, item_id, text_col, index_shingles):
 
@@ -153,11 +158,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, threshold:
     return docs
 
 
-def _arrow(kinds: tuple[str, str]) -> pa.Schema:
-    to = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.schema([("doc_id", to[kinds[0]]), ("item_id", to[kinds[1]]), ("n_shingles", pa.int32()), ("n_shared", pa.int32()), ("containment", pa.float64())])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
