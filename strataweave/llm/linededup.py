@@ -11,9 +11,10 @@ of the shorter one's cut, at the same place from that side. A segment's hash tak
 length meet. Texts are read again only for lines of candidate pairs, found in their documents by bitmaps of fixed size (2^20 words, broadcast whatever
 the corpus's size; where they fill up more texts move, with equal results).
 
-Lines that share a segment with more than GROUP - 1 others are split by further segments: what a line holds beside the shared segment is cut in the same way, and
+Two or three lines that share a segment are paired. More are split by further segments: what a line holds beside the shared segment is cut in the same way, and
 only lines that share a segment of that as well meet, and so on until two signs are left. What differs in at most one sign then is within one edit of the
-first of its group, without pairs. Each step halves what isn't shared, so there are as many as the logarithm of a line's signs, each linear in the group.
+first of its group, without pairs. Each step halves what isn't shared, so there are as many as the logarithm of a line's signs, each linear in the group; no
+group is joined with itself, so there are no more pairs than rows.
 
 Pairs are verified by a banded bit-parallel edit distance: the band of 2 * threshold + 1 cells around the diagonal is one integer a column, and a fold over
 the signs of one line takes all cells of a column in a few bit operations.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from strataweave.llm.common import counted_join, cut, table, tidy
 
-#: Lines that share a segment and are paired as they are; more are split by further segments.
-GROUP = 64
+#: Lines that share a segment and are paired as they are, three at most (`_meet` tells no more apart); more are split by further segments.
+GROUP = 3
 EDITS = 1
 #: Signs of the longer line of a pair: with fewer, one edit leaves less than 0.8 of it.
 LEAST = 5
@@ -149,17 +150,14 @@ def _marked(df: DataFrame, bitmap: DataFrame, *cols: str) -> DataFrame:
 
 
 def _meet(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, own, k1): the pairs of lines that share a key, one of them by its own cut, from groups of GROUP lines at most; the keys (key, c) of larger ones.
+    """Of rows (key, own, k1): the pairs of lines that share a key, one of them by its own cut, from groups of GROUP lines at most; the keys of larger ones.
 
-    Groups of two and three are told by their least, greatest and the exclusive or of all, so most rows aren't joined."""
+    Two and three lines are told by their least, greatest and the exclusive or of all, so no row is joined and a group makes no more pairs than it has lines."""
     groups = keyed.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("own"), F.min("k1").alias("x"), F.max("k1").alias("y"), F.bit_xor("k1").alias("z"))
     groups = cut(groups.where("c > 1 AND own = 1"), gathered=True)
-    middle = "z ^ x ^ y"
-    few = groups.where("c <= 3").select(F.inline(F.expr(f"CASE WHEN c = 2 THEN array(struct(x, y)) ELSE array(struct(x, y), struct(x, {middle} AS y), struct({middle} AS x, y)) END")))
-    some = groups.where(f"c BETWEEN 4 AND {GROUP}").select("key")
-    members = _marked(keyed, _bitmap(some, "key"), "key").join(some, "key")
-    paired = members.alias("s").join(members.alias("t"), "key").where("s.k1 < t.k1 AND (s.own = 1 OR t.own = 1)").select(F.col("s.k1").alias("x"), F.col("t.k1").alias("y"))
-    return few.unionByName(paired), groups.where(f"c > {GROUP}").select("key")
+    middle, most = "z ^ x ^ y", min(GROUP, 3)
+    pairs = F.expr(f"CASE WHEN c = 2 THEN array(struct(x, y)) ELSE array(struct(x, y), struct(x, {middle} AS y), struct({middle} AS x, y)) END")
+    return groups.where(f"c <= {most}").select(F.inline(pairs)), groups.where(f"c > {most}").select("key")
 
 
 def _split_further(items: DataFrame) -> tuple[DataFrame, DataFrame]:

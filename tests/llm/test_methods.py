@@ -396,6 +396,23 @@ def test_lines_against_all_pairs(spark, monkeypatch, group):
     assert sorted(((-1 if r.doc_id is None else r.doc_id, r.text, r.n_exact, r.n_near, r.dup_of) for r in got), key=str) == _lines_brute(spark, rows)
 
 
+def test_lines_of_a_group_make_no_more_pairs_than_rows(spark, monkeypatch):
+    made, meet = [], linededup._meet
+
+    def counted(keyed):
+        pairs, larger = meet(keyed)
+        made.append((keyed.count(), pairs.count()))
+        return pairs, larger
+
+    monkeypatch.setattr(linededup, "_meet", counted)
+    # 40 lines share their first half with each other; beside it some differ in one word, some in more
+    start = "every one of these lines starts"
+    rows = [(i, f"{start} a {i % 7} b {i // 7} c d") for i in range(40)] + [(100 + i, f"{start} a 1 b 2 c {i}") for i in range(5)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text, r.n_exact, r.n_near, r.dup_of) for r in got), key=str) == _lines_brute(spark, rows)
+    assert len(made) > 1 and all(pairs <= n for n, pairs in made), made
+
+
 def test_banded_distance_against_the_whole_matrix(spark):
     from pyspark.sql import functions as F
 
