@@ -8,7 +8,7 @@ from collections import defaultdict
 import corpus_pipeline as pipeline
 import pyarrow as pa
 import xxhash
-from strataweave.llm import common, decontaminate, packing, quality
+from strataweave.llm import common, decontaminate, linededup, packing, quality
 from test_methods import _lines_brute
 
 
@@ -83,6 +83,22 @@ def test_stages_against_brute_force(spark, data):
         assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
 
 
+def test_line_stage_on_near_copies(spark, data, monkeypatch):
+    made, meet = [], linededup._meet
+
+    def counted(keyed):
+        pairs, larger = meet(keyed)
+        made.append((keyed.count(), pairs.count()))
+        return pairs, larger
+
+    monkeypatch.setattr(linededup, "_meet", counted)
+    page = ["all copies of this page open with one line", "seen {} times by {} of our many readers", "the last of its lines was changed {} and {}"]
+    texts = [(i, "\n".join(x.format(i % 5, i // 5) for x in page)) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert _texts(pipeline.line_stage(spark, docs, data)) == {d: t for d, t, *_ in _lines_brute(spark, texts)}
+    assert all(pairs <= n for n, pairs in made), made  # of 30 near copies of a line, all pairs would be 435
+
+
 def test_run_is_its_stages(spark, data):
     assert [n for n, _ in pipeline.STAGES] == ["quality_classifier", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
     docs = common.table(spark, data, "documents")
