@@ -14,33 +14,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def record(spark, d):
-    o = table(spark, d, "orders")
+#: Lines of orders that one task holds: the number of tasks follows the table, not the size of its files or the session's settings.
+LINES = 250_000
+
+
+def tasks(spark, d) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, d, "lineitem").count() // LINES))
+
+
+def record(spark, d, dealt: int | None = None):
+    """dealt: into so many tasks by record, as entities and cells are, so that what meets by record needs no shuffle."""
+    o = table(spark, d, "orders").withColumn("record_id", F.concat(F.lit("ord:"), "o_orderkey"))
+    o = o if dealt is None else o.repartition(dealt, "record_id")
     return o.select(
-        F.concat(F.lit("ord:"), "o_orderkey").alias("record_id"), F.when(F.year("o_orderdate") < 1998, "order@1.0").otherwise("order@1.1").alias("schema_ref"),
+        "record_id", F.when(F.year("o_orderdate") < 1998, "order@1.0").otherwise("order@1.1").alias("schema_ref"),
         F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "draft").otherwise("review_needed").alias("state"), "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate",
     )
 
 
+def _lines(spark, d):
+    """Every order with each of its lines by position (-1: no line), dealt by record once: what is grouped, joined or windowed by record needs no further shuffle."""
+    n = tasks(spark, d)
+    line = table(spark, d, "lineitem").withColumn("record_id", F.concat(F.lit("ord:"), "l_orderkey")).repartition(n, "record_id")
+    at = F.row_number().over(Window.partitionBy("record_id").orderBy(*ORDER)) - 1
+    own = line.select("record_id", at.alias("position"), "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice")
+    both = record(spark, d, n).join(own, "record_id", "left")
+    none = F.col("position").isNull()
+    named = F.when(none, "lines[]=∅").otherwise(F.concat(F.lit("lines[]=#"), "position"))
+    return both.withColumns({"entity": named, "position": F.when(none, -1).otherwise(F.col("position")).cast("int")})
+
+
 def entity(spark, d):
     """Lines of an order by position; an order without lines has the empty entity."""
-    line = table(spark, d, "lineitem")
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)) - 1
-    own = line.select("l_orderkey", at.alias("position"), "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice")
-    both = table(spark, d, "orders").select("o_orderkey").join(own, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    none = F.col("l_orderkey").isNull()
-    return both.select(
-        F.concat(F.lit("ord:"), "o_orderkey").alias("record_id"), F.when(none, "lines[]=∅").otherwise(F.concat(F.lit("lines[]=#"), "position")).alias("entity"), F.when(none, -1).otherwise(F.col("position")).cast("int").alias("position"),
-        "l_quantity", (F.col("l_discount") + 0.0).alias("l_discount"), "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice",
-    )
+    return _lines(spark, d).select("record_id", "entity", "position", "l_quantity", (F.col("l_discount") + 0.0).alias("l_discount"), "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice")
 
 
 def cell(spark, d):
-    r, e = record(spark, d), entity(spark, d).where("position >= 0")
-    root = r.select("record_id", F.lit("").alias("entity"), F.explode(F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority", F.lit("totalprice"), F.col("o_totalprice").cast("string"))).alias("field_id", "value"))
-    lines = e.select("record_id", "entity", F.explode(F.create_map(F.lit("quantity"), F.col("l_quantity").cast("string"), F.lit("discount"), F.col("l_discount").cast("string"), F.lit("tax"), F.col("l_tax").cast("string"), F.lit("returnflag"), "l_returnflag")).alias("field_id", "value"))
+    """Cells of the root with those of the first line (or of none), so that orders and lines are gone through once."""
+    one = lambda entity, field, value: F.struct(entity.alias("entity"), F.lit(field).alias("field_id"), value.cast("string").alias("value"))
+    root = F.array(*(one(F.lit(""), f, F.col(c)) for f, c in (("status", "o_orderstatus"), ("priority", "o_orderpriority"), ("totalprice", "o_totalprice"))))
+    line = F.array(*(one(F.col("entity"), f, c) for f, c in (("quantity", F.col("l_quantity")), ("discount", F.col("l_discount") + 0.0), ("tax", F.col("l_tax")), ("returnflag", F.col("l_returnflag")))))
+    every = F.when(F.col("position") < 0, root).when(F.col("position") == 0, F.concat(root, line)).otherwise(line)
+    cells = _lines(spark, d).select("record_id", F.explode(every).alias("c")).select("record_id", "c.*")
     status = F.when((F.col("field_id") == "returnflag") & (F.col("value") == "N"), "not_reported").when((F.col("field_id") == "priority") & F.col("value").startswith("4"), "review_required").otherwise("present")
-    return root.unionByName(lines).select("record_id", "field_id", "entity", status.alias("status"), "value")
+    return cells.select("record_id", "field_id", "entity", status.alias("status"), "value")
 
 
 def order_schema():
@@ -51,10 +68,9 @@ def order_schema():
 
 def order_json(spark, d):
     """(record_id, record): orders as nested JSON records; the return flag N is null."""
-    e = entity(spark, d)
-    one = F.struct("position", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.nullif("l_returnflag", F.lit("N")).alias("returnflag"))
-    lines = e.groupBy("record_id").agg(F.array_sort(F.collect_list(F.when(F.col("position") >= 0, one))).alias("lines"))
-    both = record(spark, d).join(lines, "record_id")
+    own = _lines(spark, d)
+    one = F.struct("position", F.col("l_quantity").alias("quantity"), (F.col("l_discount") + 0.0).alias("discount"), F.col("l_tax").alias("tax"), F.nullif("l_returnflag", F.lit("N")).alias("returnflag"))
+    both = own.groupBy("record_id", "o_orderstatus", "o_orderpriority", "o_totalprice").agg(F.array_sort(F.collect_list(F.when(F.col("position") >= 0, one))).alias("lines"))
     whole = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("totalprice"), F.transform("lines", lambda x: x.dropFields("position")).alias("lines"))
     return both.select("record_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("record"))
 

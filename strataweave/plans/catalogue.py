@@ -388,14 +388,15 @@ def reachable(spark, d):
 
 
 def _planned(spark, d):
-    entities = bed.entity(spark, d).where("position >= 0").select("record_id", "entity", F.lit("lines[]").alias("scope")).unionByName(bed.record(spark, d).select("record_id", F.lit("").alias("entity"), F.lit("").alias("scope")))
+    roots = bed.record(spark, d, bed.tasks(spark, d)).select("record_id", F.lit("").alias("entity"), F.lit("").alias("scope"))
+    entities = bed.entity(spark, d).where("position >= 0").select("record_id", "entity", F.lit("lines[]").alias("scope")).unionByName(roots)
     planned = entities.join(F.broadcast(bed.steps(spark)), "scope")
     return planned.withColumn("step_key", F.concat_ws("|", "record_id", "step_id", "entity")).withColumn("required_reads", F.col("reads"))
 
 
 def _plannable(spark, d):
     """(index, entities, steps): every step of STEPS from both versions; s1 copies, s2 derives, s3 asks, s4 lacks a read that it needs."""
-    index = bed.record(spark, d).select("record_id", "schema_ref")
+    index = bed.record(spark, d, bed.tasks(spark, d)).select("record_id", "schema_ref")
     entities = bed.entity(spark, d).select("record_id", "entity", F.lit("lines[]").alias("collection_path")).unionByName(index.select("record_id", F.lit("").alias("entity"), F.lit("").alias("collection_path")))
     kinds = {"s1": "copy", "s2": "derive", "s3": "document_semantic", "s4": "derive"}
     rows = [(ref, 0, int(s == "s2"), "m", s, kinds[s], scope, writes, reads, [r for r in reads if r == "missing_field"], {f"field_def:{w}": "h1" for w in writes}, "r@1" if s == "s3" else None, "order@2.0", True, 4.0, 250, True, ["status", "quantity", "returnflag", "priority"], {"s1": 0, "s2": 1, "s3": 0, "s4": 2}[s], "main" if s == "s3" else None, 0 if s == "s3" else None) for ref in ("order@1.0", "order@1.1") for s, scope, reads, writes in bed.STEPS]
@@ -407,7 +408,9 @@ _PLANNED = """+ pl AS (SELECT record_id, entity, step_id, reads, writes, record_
 
 @query(_PLANNED + "SELECT step_id, count(*) AS n, count(DISTINCT record_id) AS records FROM pl GROUP BY 1", "b_record", "b_entity", "b_step")
 def step_expansion(spark, d):
-    return planning.expand(*_plannable(spark, d)).groupBy("step_id").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("records"))
+    # counts by record first, as in plan_summary
+    per = planning.expand(*_plannable(spark, d)).groupBy("step_id", "record_id").agg(F.count("*").alias("n"))
+    return per.groupBy("step_id").agg(F.sum("n").alias("n"), F.count("*").alias("records"))
 
 
 _READS = _PLANNED + """, rd AS (SELECT step_key, step_id, field_id, coalesce(c.status, r.status) AS status, CASE WHEN c.status IS NOT NULL THEN w.entity WHEN r.status IS NOT NULL THEN '' END AS found_at FROM (SELECT *, unnest(reads) AS field_id FROM pl) w
@@ -425,8 +428,7 @@ def reads_with_root_fallback(spark, d):
 @query(_READS + "SELECT step_key, string_agg(field_id, ',' ORDER BY field_id) AS missing FROM rd WHERE status IS NULL OR status IN ('not_extracted', 'extraction_failed') GROUP BY 1", "b_record", "b_entity", "b_cell", "b_step")
 def missing_required_reads(spark, d):
     planned = _planned(spark, d)
-    reads = planning.read_cells(planned, bed.cell(spark, d).withColumn("value_hash", F.col("value")))
-    return planning.missing_reads(planned, reads).select("step_key", F.array_join("missing", ",").alias("missing"))
+    return planning.missing_reads(planned, bed.cell(spark, d).withColumn("value_hash", F.col("value"))).select("step_key", F.array_join("missing", ",").alias("missing"))
 
 
 @query("SELECT section, count(*) AS calls, sum(CAST(floor(length(text) / 4.0 + 0.999) AS BIGINT))::BIGINT AS tokens_in, round(sum(round((floor(length(text) / 4.0 + 0.999) * 3.0 + 250 * 15.0) / 1e6, 8)), 6) AS usd FROM b_unit GROUP BY 1", "b_unit")
@@ -444,7 +446,8 @@ def plan_by_disposition(spark, d):
     flag = F.col("field_id") == "returnflag"
     hashes = F.when(F.col("field_id") == "status", F.create_map(F.lit("field_def:status"), F.when(o % 2 == 0, "h1").otherwise("h0")))
     cells = bed.cell(spark, d).withColumns({"value_hash": F.col("value"), "hashes": hashes, "accepted": flag & (o % 4 < 2), "recipe_ref": F.when(flag, F.when(o % 4 == 0, "r@1").otherwise("r@0"))})
-    return planning.summary(planning.plan(*_plannable(spark, d)[:2], cells, _plannable(spark, d)[2])).select("disposition", "steps", "field_writes", "tokens_out", "records")
+    index, entities, steps = _plannable(spark, d)
+    return planning.summary(planning.plan(index, entities, cells, steps)).select("disposition", "steps", "field_writes", "tokens_out", "records")
 
 
 _TOTALS = _PLANNED + ", k AS (SELECT *, CAST(substring(record_id, 5) AS BIGINT) AS o FROM pl) "
