@@ -15,6 +15,7 @@ def shuffles(df):
 MOST = {
     "plan_models": 8,
     "plan_totals": 7,
+    "plan_validation_steps": 7,
 }
 
 
