@@ -16,6 +16,7 @@ MOST = {
     "plan_models": 8,
     "plan_totals": 7,
     "plan_validation_steps": 7,
+    "plan_blocked_reasons": 8,
 }
 
 
