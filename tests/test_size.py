@@ -17,6 +17,7 @@ MOST = {
     "plan_totals": 7,
     "plan_validation_steps": 7,
     "plan_blocked_reasons": 8,
+    "plan_by_disposition": 8,
 }
 
 
