@@ -18,6 +18,7 @@ MOST = {
     "plan_validation_steps": 7,
     "plan_blocked_reasons": 8,
     "plan_by_disposition": 8,
+    "missing_required_reads": 5,
 }
 
 
