@@ -19,6 +19,7 @@ MOST = {
     "plan_blocked_reasons": 8,
     "plan_by_disposition": 8,
     "missing_required_reads": 5,
+    "step_dependencies": 5,
 }
 
 
