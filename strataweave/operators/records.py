@@ -63,69 +63,75 @@ def decompose(records: DataFrame, schema: Schema, doc: str = "record", record_id
     """(cells, entities) of JSON records. Every declared field gives a cell in every entity of its collection, absent ones too.
 
     Entities: (record_id, entity, collection_path, local_id, position, parent); an empty collection gives one entity ∅ at -1; a member
-    without identity is #position. A null or unreadable document gives absent root cells."""
+    without identity is #position. A null or unreadable document gives absent root cells. Each of the two goes through the records once: the entities of a document are one array."""
     whole = F.coalesce(F.try_parse_json(F.col(doc)), F.parse_json(F.lit("{}")))
-    base = records.select(F.col(record_id).alias("record_id"), F.lit("").alias("entity"), F.lit("").alias("collection_path"), F.lit("").alias("local_id"), F.lit(0).alias("position"), F.lit("").alias("parent"), whole.alias("doc"))
-    levels, cells, entities = {"": base}, [], [base.drop("doc")]
-    for path in ["", *sorted(schema.collections(), key=lambda p: (p.count("[]"), p))]:
-        if path:
-            parent = schema.parent_collection(path)
-            up = levels[parent]
-            items = json_get(F.col("doc"), schema.relative(path, parent).removesuffix("[]").split("."), "array<variant>")
-            prefix = F.when(F.col("parent") == "", "").otherwise(F.concat("parent", F.lit("/")))
-            one = up.select("record_id", F.col("entity").alias("parent"), F.posexplode(items).alias("position", "doc"))
-            identity = schema.identity_field(path)
-            own = F.coalesce(*(F.try_variant_get("doc", f"$.{identity}{tail}", "string") for tail in (".value", ""))) if identity else F.lit(None).cast("string")
-            local = F.coalesce(F.nullif(own, F.lit("")), F.concat(F.lit("#"), F.col("position").cast("string")))
-            level = one.withColumn("local_id", local).withColumn("collection_path", F.lit(path))
-            level = level.withColumn("entity", F.concat(prefix, F.lit(f"{path}="), _quoted(F.col("local_id"))))
-            levels[path] = level.select("record_id", "entity", "collection_path", "local_id", "position", "parent", "doc")
-            none = up.where(F.size(items) == 0).select("record_id", F.col("entity").alias("parent"))
-            none = none.select("record_id", F.concat(prefix, F.lit(f"{path}={EMPTY}")).alias("entity"), F.lit(path).alias("collection_path"), F.lit(EMPTY).alias("local_id"), F.lit(-1).alias("position"), "parent")
-            entities += [levels[path].drop("doc"), none]
+    node = lambda *parts: F.struct(*(p.alias(n) for p, n in zip(parts, ("entity", "collection_path", "local_id", "position", "parent", "doc"), strict=True)))
+    out = records.select(F.col(record_id).alias("record_id"), F.array(node(F.lit(""), F.lit(""), F.lit(""), F.lit(0), F.lit(""), whole)).alias("_"))
+    paths, names = sorted(schema.collections(), key=lambda p: (p.count("[]"), p)), {"": "_"}
+    for k, path in enumerate(paths):
+        parent, names[path] = schema.parent_collection(path), f"_{k}"
+        identity, at = schema.identity_field(path), schema.relative(path, parent).removesuffix("[]").split(".")
+
+        def member(up: Column, item: Column, position: Column) -> Column:  # noqa: B023  used up within the loop
+            own = F.coalesce(*(F.try_variant_get(item, f"$.{identity}{tail}", "string") for tail in (".value", ""))) if identity else F.lit(None).cast("string")
+            local = F.coalesce(F.nullif(own, F.lit("")), F.concat(F.lit("#"), position.cast("string")))
+            return node(F.concat(_inside(up), F.lit(f"{path}="), _quoted(local)), F.lit(path), local, position, up["entity"], item)
+
+        def members(up: Column) -> Column:
+            none = node(F.concat(_inside(up), F.lit(f"{path}={EMPTY}")), F.lit(path), F.lit(EMPTY), F.lit(-1), up["entity"], F.lit(None).cast("variant"))
+            of = lambda x: F.when(F.size(x["items"]) == 0, F.array(none)).otherwise(F.transform(x["items"], lambda item, n: member(up, item, n)))
+            found = F.transform(F.array(F.struct(json_get(up["doc"], at, "array<variant>").alias("items"))), lambda x: F.coalesce(of(x), F.slice(F.array(none), 1, 0)))
+            return F.get(found, F.lit(0))
+
+        out = out.withColumn(names[path], F.flatten(F.transform(F.filter(names[parent], lambda u: u["position"] >= 0), members)))
+    nodes = out.select("record_id", F.explode(F.concat(*names.values())).alias("n")).select("record_id", "n.*")
+    raws, fields = F, F
+    for path in names:
+        of = schema.fields_in(path)
+        if not of:
+            continue
+        here = (F.col("collection_path") == path) & (F.col("position") >= 0)
+        raws = raws.when(here, F.array(*(json_get(F.col("doc"), schema.relative(f.path, path).split(".")) for f in of)))  # each is taken out of the document once
         structs = []
-        for f in schema.fields_in(path):
-            raw = json_get(F.col("doc"), schema.relative(f.path, path).split("."))
+        for k, f in enumerate(of):
+            raw = F.get(F.col("raw"), F.lit(k))
             status, value, reason = wrapped_decode(raw) if wrapped else plain_decode(raw)
             structs.append(F.struct(F.lit(f.field_id).alias("field_id"), status.alias("status"), value.alias("value_json"), reason.alias("reason")))
-        if structs:
-            cells.append(levels[path].select("record_id", "entity", F.explode(F.array(*structs)).alias("c")).select("record_id", "c.field_id", "entity", "c.status", "c.value_json", "c.reason"))
-    join = lambda parts: parts[0] if len(parts) == 1 else join([parts[0].unionByName(parts[1]), *parts[2:]])
-    return join(cells), join(entities)
+        fields = fields.when(here, F.array(*structs))
+    cells = nodes.withColumn("raw", raws).select("record_id", "entity", F.explode(fields).alias("c")).select("record_id", "c.field_id", "entity", "c.status", "c.value_json", "c.reason")
+    return cells, nodes.drop("doc")
+
+
+def _inside(up: Column) -> Column:
+    """What the key of a member begins with: its parent's key, where that isn't the root."""
+    return F.when(up["entity"] == "", F.lit("")).otherwise(F.concat(up["entity"], F.lit("/")))
 
 
 def assemble(cells: DataFrame, entities: DataFrame, schema: Schema, include_absent: bool = False) -> DataFrame:
     """(record_id, record): JSON text of every record. Cells of unknown fields or entities are dropped; members are in order of position, then key.
 
-    Each collection is folded into its parent from the deepest up: cells of an entity become one map, members one sorted array."""
+    Cells and entities meet in one aggregation by record and entity; then each collection is folded into its parent from the deepest up, in one more each."""
     fields = {f.field_id: f for f in schema.fields}
-    known = cells.where(F.col("field_id").isin(*fields))
     place = F.create_map(*(F.lit(x) for f in schema.fields for x in (f.field_id, schema.relative(f.path, f.collection))))
-    keep = F.col("status").isin("present", "review_required") if not include_absent else F.lit(True)
-    value = F.coalesce("value_json", F.lit("null"))
-    per = known.where(keep).groupBy("record_id", "entity").agg(F.array_sort(F.collect_list(F.struct(place[F.col("field_id")].alias("path"), value.alias("value")))).alias("leaves"))
-    nodes = entities.join(per, ["record_id", "entity"], "left")
-    children = None
-    for path in [*sorted(schema.collections(), key=lambda p: (-p.count("[]"), p)), ""]:
-        here = nodes.where(F.col("collection_path") == path)
-        if children is not None:
-            here = here.join(children, ["record_id", "entity"], "left")
-            leaves = F.concat(F.coalesce("leaves", F.array().cast("array<struct<path:string,value:string>>")), F.coalesce("members", F.array().cast("array<struct<path:string,value:string>>")))
-        else:
-            leaves = F.coalesce("leaves", F.array().cast("array<struct<path:string,value:string>>"))
-        done = here.withColumn("object", _object(leaves))
-        if not path:
-            return done.select("record_id", F.col("object").alias("record"))
+    known = cells.where(F.col("field_id").isin(*fields))
+    if not include_absent:
+        known = known.where(F.col("status").isin("present", "review_required"))
+    leaf = "struct<path:string,value:string>"
+    leaves = known.select("record_id", "entity", F.struct(place[F.col("field_id")].alias("path"), F.coalesce("value_json", F.lit("null")).alias("value")).cast(leaf).alias("leaf"))
+    own = entities.select("record_id", "entity", F.struct("collection_path", "position", "parent").alias("at"))
+    nodes = leaves.unionByName(own, allowMissingColumns=True).groupBy("record_id", "entity").agg(F.max("at").alias("at"), F.collect_list("leaf").alias("leaves")).where("at IS NOT NULL")
+    for path in sorted(schema.collections(), key=lambda p: (-p.count("[]"), p)):
+        here = F.col("at.collection_path") == path
         parent = schema.parent_collection(path)
         name = schema.relative(path, parent).removesuffix("[]")
-        members = F.array_sort(F.collect_list(F.when(F.col("position") >= 0, F.struct("position", "entity", "object"))))
-        folded = done.groupBy("record_id", F.col("parent").alias("entity")).agg(F.struct(F.lit(name).alias("path"), F.concat(F.lit("["), F.array_join(F.transform(members, lambda m: m["object"]), ","), F.lit("]")).alias("value")).alias("member"))
-        folded = folded.groupBy("record_id", "entity").agg(F.collect_list("member").alias("members"))
-        if children is None:
-            children = folded
-        else:
-            children = children.unionByName(folded).groupBy("record_id", "entity").agg(F.flatten(F.collect_list("members")).alias("members"))
-    return None
+        # members go to their parent, all others stay: one pass whatever the number of collections
+        member = F.when(here, F.struct(F.col("at.position").alias("position"), F.col("entity").alias("key"), F.when(F.col("at.position") >= 0, _object(F.col("leaves"))).alias("object")))
+        moved = nodes.select("record_id", F.when(here, F.col("at.parent")).otherwise(F.col("entity")).alias("entity"), F.when(~here, F.col("at")).alias("at"), F.when(~here, F.col("leaves")).alias("leaves"), member.alias("member"))
+        per = moved.groupBy("record_id", "entity").agg(F.max("at").alias("at"), F.flatten(F.collect_list("leaves")).alias("leaves"), F.collect_list("member").alias("members")).where("at IS NOT NULL")
+        listed = F.array_join(F.transform(F.filter(F.array_sort("members"), lambda m: m["object"].isNotNull()), lambda m: m["object"]), ",")
+        whole = F.array(F.struct(F.lit(name).alias("path"), F.concat(F.lit("["), listed, F.lit("]")).alias("value")).cast(leaf))
+        nodes = per.select("record_id", "entity", "at", F.when(F.size("members") > 0, F.concat("leaves", whole)).otherwise(F.col("leaves")).alias("leaves"))
+    return nodes.where("at.collection_path = ''").select("record_id", _object(F.col("leaves")).alias("record"))
 
 
 def _object(leaves: Column) -> Column:

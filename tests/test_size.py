@@ -20,6 +20,7 @@ MOST = {
     "plan_by_disposition": 8,
     "missing_required_reads": 5,
     "step_dependencies": 5,
+    "assemble_root": 4,
 }
 
 
