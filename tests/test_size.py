@@ -21,6 +21,7 @@ MOST = {
     "missing_required_reads": 5,
     "step_dependencies": 5,
     "assemble_root": 4,
+    "assemble_orders": 4,
 }
 
 
