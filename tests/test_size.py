@@ -22,6 +22,7 @@ MOST = {
     "step_dependencies": 5,
     "assemble_root": 4,
     "assemble_orders": 4,
+    "decompose_cells": 2,
 }
 
 
