@@ -78,9 +78,16 @@ def attempt_numbers(attempts: DataFrame, keys: list[str], order: list[str]) -> D
     return attempts.withColumn("attempt", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def resume_remaining(steps: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Steps that haven't succeeded yet."""
-    return steps.join(done.where("state = 'succeeded'").select(*keys).distinct(), keys, "left_anti")
+def not_among(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys others (keys) doesn't have, as by an anti join, but in one sort of both: where they are dealt by one of the keys they stay where they are, and no set of keys is held."""
+    both = rows.withColumn("_own", F.lit(True)).unionByName(others.select(*keys), allowMissingColumns=True)
+    return both.withColumn("_met", F.bool_or(F.col("_own").isNull()).over(Window.partitionBy(*keys))).where("_own AND NOT _met").drop("_own", "_met")
+
+
+def resume_remaining(steps: DataFrame, done: DataFrame, keys: list[str], within: str | None = None) -> DataFrame:
+    """Steps that haven't succeeded yet. within: a column that keys decide on and by which both are dealt, so that neither is shuffled."""
+    done = done.where("state = 'succeeded'")
+    return steps.join(done.select(*keys), keys, "left_anti") if within is None else not_among(steps, done, [within, *keys])
 
 
 def batches(df: DataFrame, size: int):

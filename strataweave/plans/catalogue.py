@@ -834,7 +834,7 @@ def step_state_histogram(spark, d):
 @query(_STATES + "SELECT step_key FROM st WHERE state <> 'succeeded'", "b_entity")
 def resume_remaining(spark, d):
     s = _step_states(spark, d)
-    return artifacts.resume_remaining(s, s, ["step_key"]).select("step_key")
+    return artifacts.resume_remaining(s, s, ["step_key"], within="record_id").select("step_key")
 
 
 @query("SELECT 'c' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS step_key, round(sum(round(abs(value), 2)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 2) <= 5000 AS admitted FROM events")

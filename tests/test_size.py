@@ -29,3 +29,16 @@ MOST = {
 @pytest.mark.parametrize("name", MOST)
 def test_few_shuffles(spark, data, name):
     assert shuffles(catalogue.QUERIES[name](spark, data)) <= MOST[name]
+
+
+DEALT = ["step_expansion", "reads_with_root_fallback", "resume_remaining", "stale_fields", "export_lines"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_tasks_grow_with_the_table(spark, data, monkeypatch, name):
+    """Orders and lines are dealt by record into so many tasks, so what one of them sorts stays as it is; and all that meets by record meets there."""
+    monkeypatch.setattr(bed, "LINES", 100)
+    n = -(-bed.table(spark, data, "lineitem").count() // 100)
+    plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((?:record_id|step_key|entity)[^)]*, (\d+)\)", plan)
+    assert dealt and set(dealt) == {str(n)}
