@@ -28,7 +28,7 @@ def _type_ok(kind: Column) -> Column:
     )
 
 
-def _item_faults(item: Column) -> Column:
+def _item_faults(item: Column, kind: Column | None = None) -> Column:
     """Faults of one value (codes); a wrong type hides the others, null items are skipped. The value's kind is told once, its text and number only where they are asked for."""
 
     def told(x: Column) -> Column:
@@ -48,7 +48,7 @@ def _item_faults(item: Column) -> Column:
         checks = F.when(bounded & number.isNotNull(), _bind(number, of_number)).when(sized & text.isNotNull(), _bind(text, of_text)).otherwise(none)
         return F.when(kind.isNull() | (kind == "VOID"), none).when(~_type_ok(kind), F.array(F.lit("type"))).otherwise(checks)
 
-    return _bind(F.struct(item.alias("value"), F.schema_of_variant(item).alias("kind")), told)
+    return _bind(F.struct(item.alias("value"), (F.schema_of_variant(item) if kind is None else kind).alias("kind")), told)
 
 
 def _bind(value: Column, body) -> Column:
@@ -59,18 +59,21 @@ def _bind(value: Column, body) -> Column:
 def faults(cells: DataFrame, fields: DataFrame) -> DataFrame:
     """One row a fault: record_id, field_id, entity, code, outcome. fields is small (one row a field) and joined by Spark's own size check."""
     joined = cells.join(fields.drop("schema_ref"), "field_id", "left")
-    value = F.try_parse_json("value_json")
+    # a value is parsed once, and only where a rule can ask for it
+    joined = joined.withColumn("_value", F.when(F.col("base_type").isNotNull() & has_value(F.col("status")), F.try_parse_json("value_json")))
+    joined = joined.withColumn("_kind", F.schema_of_variant("_value"))
+    value = F.col("_value")
     items = F.try_variant_get(value, "$", "array<variant>")
-    is_list = F.schema_of_variant(value).startswith("ARRAY")
+    is_list = F.col("_kind").startswith("ARRAY")
     shape = F.when(F.col("multivalued") & ~is_list, F.array(F.lit("not_a_list"))).when(~F.col("multivalued") & is_list & (F.col("base_type") != "any"), F.array(F.lit("unexpected_list")))
     counted = F.array_compact(F.array(F.when(F.size(items) < F.col("min_items"), "min_items"), F.when(F.size(items) > F.col("max_items"), "max_items")))
-    each = F.concat(counted, F.array_distinct(F.flatten(F.transform(items, _item_faults))))
+    each = F.concat(counted, F.array_distinct(F.flatten(F.transform(items, lambda x: _item_faults(x)))))
     codes = (
         F.when(F.col("base_type").isNull(), F.array(F.lit("undefined_field")))
         .when(~has_value(F.col("status")), F.when(F.col("required") & F.col("status").isin("not_extracted", "extraction_failed"), F.array(F.lit("required"))).otherwise(F.array().cast("array<string>")))
         .when(shape.isNotNull(), shape)
         .when(F.col("multivalued"), each)
-        .otherwise(_item_faults(value))
+        .otherwise(_item_faults(value, F.col("_kind")))
     )
     return joined.select("record_id", "field_id", "entity", F.explode(codes).alias("code"), F.lit("fail").alias("outcome"))
 

@@ -42,3 +42,9 @@ def test_tasks_grow_with_the_table(spark, data, monkeypatch, name):
     plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"Exchange hashpartitioning\((?:record_id|step_key|entity)[^)]*, (\d+)\)", plan)
     assert dealt and set(dealt) == {str(n)}
+
+
+@pytest.mark.parametrize("name", ["validate_undefined", "validate_bounds"])
+def test_a_value_is_parsed_once(spark, data, name):
+    plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"parse_?json", plan, re.I)) <= 1
